@@ -85,10 +85,10 @@ def step_positions(paths: DataFrame) -> DataFrame:
         at = F.transform("orderings", lambda o: (F.array_position(o, number) - 1).cast("int"))
         return F.struct(step.alias("step"), at.alias("at"))
 
-    per_step = paths.where(F.size("orderings") > 1).select(
+    per_step = paths.select(
         *keys,
         (F.size("node_ids") - 1).alias("last_pos"),
-        F.inline(F.transform("node_ids", describe)),
+        F.inline(F.when(F.size("orderings") > 1, F.transform("node_ids", describe))),
     )
     return per_step.select(
         *keys,
@@ -143,37 +143,55 @@ def top_steps(flexibility: DataFrame, name: str, k: int) -> DataFrame:
 
 
 def analysis_summary(paths: DataFrame) -> DataFrame:
-    """The whole summary as one long table (section, key, value)."""
+    """The whole summary as one long table (section, key, value).
 
-    def rows(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
-        return df.select(
+    Every example adds its entries to the sections and one aggregate closes them, so the
+    paths are read once and only a few hundred partial sums per task are shuffled.
+    """
+    good = F.col("error").isNull()
+    total = F.when(good, F.coalesce(F.col("total_paths"), F.lit(0)))
+
+    def entry(section: str, key: Column | str, value: Column) -> Column:
+        key = F.lit(key) if isinstance(key, str) else key
+        return F.struct(
             F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value")
         )
 
-    def spread_out(df: DataFrame, section: str) -> DataFrame:
-        pairs = F.array(
-            *[
-                F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
-                for c in df.columns
-            ]
+    single = F.array(
+        entry("totals", "total_examples", F.lit(1)),
+        entry("totals", "successful_examples", good.cast("int")),
+        entry("flexibility_stats", "examples_with_multiple_paths", F.coalesce(total > 1, F.lit(False)).cast("int")),
+        entry("flexibility_stats", "avg_paths_per_example", total),
+        entry("flexibility_stats", "max_paths", total),
+        entry("path_distribution", path_bucket(total), good.cast("int")),
+        entry("method_usage", F.coalesce("method", F.lit("unknown")), good.cast("int")),
+    )
+
+    def step_entry(step: Column, number: Column) -> Column:
+        at = F.transform("orderings", lambda o: F.array_position(o, number))
+        low, high = F.array_min(at), F.array_max(at)
+        section = (
+            F.when(low != high, "flexible_steps")
+            .when(low == 1, "always_first_steps")
+            .when(low == F.size("node_ids"), "always_last_steps")
+        )
+        return F.struct(
+            section.alias("section"), step.alias("key"), F.lit(1.0).alias("value")
         )
-        return df.select(F.lit(section).alias("section"), F.inline(pairs))
 
-    totals = paths.agg(
-        F.count("*").alias("total_examples"),
-        F.count_if(F.col("error").isNull()).alias("successful_examples"),
+    steps = F.when(F.size("orderings") > 1, F.transform("node_ids", step_entry))
+    entries = F.concat(
+        single, F.coalesce(steps, F.array().cast("array<struct<section:string,key:string,value:double>>"))
+    )
+    long = paths.select(F.inline(entries)).where(F.col("section").isNotNull())
+    closed = long.groupBy("section", "key").agg(
+        F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.max("value").alias("max")
+    )
+    value = (
+        F.when(F.col("key") == "avg_paths_per_example", F.col("avg"))
+        .when(F.col("key") == "max_paths", F.col("max"))
+        .otherwise(F.col("sum"))
     )
-    flexibility = step_flexibility(step_positions(paths))
-    parts = [
-        spread_out(totals, "totals"),
-        spread_out(flexibility_stats(paths), "flexibility_stats"),
-        rows(path_count_distribution(paths), "path_distribution", F.col("bucket"), F.col("examples")),
-        rows(method_usage(paths), "method_usage", F.col("method"), F.col("examples")),
-    ]
-    for name in ("always_first", "always_last", "flexible"):
-        found = flexibility.where(F.col(name) > 0)
-        parts.append(rows(found, f"{name}_steps", F.col("step"), F.col(name)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    listed = closed.select("section", "key", F.coalesce(value, F.lit(0.0)).alias("value"))
+    fixed = F.col("section").isin("totals", "flexibility_stats")
+    return listed.where(fixed | (F.col("value") > 0))

@@ -87,7 +87,7 @@ def alternative_cots(
     paths: DataFrame, originals: DataFrame, order: str, max_cots: int = 10, seed: int = 0
 ) -> DataFrame:
     """One row per kept ordering with its texts and its training answer."""
-    capped = paths.where(F.size("orderings") > 0).withColumn(
+    capped = paths.withColumn(
         "kept", kept_numbers(F.size("orderings"), max_cots, seed, F.col("example_id"))
     )
     picked = capped.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cotflow.functions.lambdas import empty, let, upto
+from cotflow.functions.lambdas import computed_once, empty, let, upto
 
 # Constraint-ratio thresholds with their labels and path-count texts.
 LEVELS = (
@@ -176,14 +176,13 @@ def valid_input(success: Column, nodes: Column, edges: Column) -> Column:
 
 
 def with_graph(results: DataFrame) -> DataFrame:
-    """Add ``graph``; NULL where the record is no valid graph input."""
-    return results.withColumn(
-        "graph",
-        F.when(
-            valid_input(F.col("success"), F.col("nodes"), F.col("edges")),
-            build_graph(F.col("nodes"), F.col("edges")),
-        ),
+    """The keys and ``graph``, which is NULL where the record is no valid graph input."""
+    keys = [c for c in ("example_ord", "example_id") if c in results.columns]
+    graph = F.when(
+        valid_input(F.col("success"), F.col("nodes"), F.col("edges")),
+        build_graph(F.col("nodes"), F.col("edges")),
     )
+    return computed_once(results, keys, graph.alias("graph"))
 
 
 def value_dependency_edges(nodes: Column) -> Column:

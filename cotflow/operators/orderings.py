@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cotflow.functions.hashing import next_state, start_state
-from cotflow.functions.lambdas import empty, let, upto
+from cotflow.functions.lambdas import computed_once, empty, let, upto
 from cotflow.operators.graphs import (
     CYCLIC,
     INVALID_INPUT,
@@ -198,46 +198,36 @@ def reasoning_paths(results: DataFrame, for_cots: bool = False, seed: int = 0) -
     spells them out. ``example_ord`` passes through when the input has it.
     """
     keys = [c for c in ("example_ord", "example_id") if c in results.columns]
-    graphs = with_graph(results).select(*keys, "graph")
-    checked = graphs.withColumn(
-        "error",
-        F.when(F.col("graph").isNull(), INVALID_INPUT).when(~is_acyclic(F.col("graph")), CYCLIC),
-    )
-    estimated = checked.withColumn(
-        "complexity_estimate",
-        F.when(F.col("error").isNull(), complexity_estimate(F.col("graph"))),
-    ).withColumn(
-        "plan",
-        F.when(
-            F.col("error").isNull(), generation_plan(F.col("complexity_estimate"), for_cots)
-        ),
-    )
+    graph, key = F.col("graph"), F.col("example_id")
+    error = F.when(graph.isNull(), INVALID_INPUT).when(~is_acyclic(graph), CYCLIC)
+    checked = computed_once(with_graph(results), [*keys, "graph"], error.alias("error"))
+    planned = computed_once(
+        checked,
+        [*keys, "graph", "error"],
+        F.when(F.col("error").isNull(), complexity_estimate(graph)).alias("complexity_estimate"),
+    ).withColumn("plan", generation_plan(F.col("complexity_estimate"), for_cots))
     samples = SAMPLES_COTS if for_cots else SAMPLES_FULL
-    graph, plan = F.col("graph"), F.col("plan")
-    found = estimated.withColumn(
-        "orderings",
-        F.when(plan["method"] == "exhaustive", enumerate_orderings(graph, plan["cap"])).when(
-            plan["method"] == "sampling",
-            sample_orderings(graph, F.col("example_id"), samples, seed),
-        ),
+    good, plan = F.col("error").isNull(), F.col("plan")
+    orderings = F.when(
+        good & (plan["method"] == "exhaustive"), enumerate_orderings(graph, plan["cap"])
+    ).when(good, sample_orderings(graph, key, samples, seed))
+    found = computed_once(
+        planned,
+        [*keys, "graph", "error", "complexity_estimate", "plan"],
+        orderings.alias("orderings"),
     )
     return found.select(
         *keys,
         "error",
         "complexity_estimate",
-        plan["method"].alias("method"),
-        F.when(F.col("error").isNull(), F.size("orderings")).alias("total_paths"),
+        F.when(good, plan["method"]).alias("method"),
+        F.when(good, F.size("orderings")).alias("total_paths"),
         graph["ids"].alias("node_ids"),
         graph["texts"].alias("node_texts"),
         "orderings",
     )
 
 
-def spelled(ordering: Column, names: Column) -> Column:
-    """Node numbers of one ordering replaced by their ids or texts."""
-    return F.transform(ordering, lambda v: F.get(names, v))
-
-
 def path_rows(paths: DataFrame) -> DataFrame:
     """One row per ordering: example_id, path_no (1-based), sequence, texts."""
     keys = [c for c in ("example_ord", "example_id") if c in paths.columns]
@@ -250,3 +240,8 @@ def path_rows(paths: DataFrame) -> DataFrame:
         spelled(F.col("ordering"), F.col("node_ids")).alias("sequence"),
         spelled(F.col("ordering"), F.col("node_texts")).alias("texts"),
     )
+
+
+def spelled(ordering: Column, names: Column) -> Column:
+    """Node numbers of one ordering replaced by their ids or texts."""
+    return F.transform(ordering, lambda v: F.get(names, v))

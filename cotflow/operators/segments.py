@@ -86,44 +86,33 @@ def renumbered_nodes(segments: Column) -> Column:
     )
 
 
-def _violations(df: DataFrame, rule: str, details: Column) -> DataFrame:
-    return df.select("example_id", F.lit(rule).alias("rule"), F.explode(details).alias("detail"))
-
-
-def check_sequential_ids(df: DataFrame) -> DataFrame:
-    wrong = F.filter(
-        F.transform(
-            "segments",
-            lambda s, i: F.when(
-                F.coalesce(s["id"] != F.concat(F.lit("s"), (i + 1).cast("string")), F.lit(True)),
-                F.concat((i + 1).cast("string"), F.lit(":"), F.coalesce(s["id"], F.lit("null"))),
-            ),
-        ),
-        lambda d: d.isNotNull(),
-    )
-    return _violations(df, "sequential_ids", wrong)
+def _sequential_ids() -> Column:
+    def wrong(s: Column, i: Column) -> Column:
+        place = (i + 1).cast("string")
+        same = F.coalesce(s["id"] == F.concat(F.lit("s"), place), F.lit(False))
+        return F.when(~same, F.concat(place, F.lit(":"), F.coalesce(s["id"], F.lit("null"))))
+
+    return F.array_compact(F.transform("segments", wrong))
 
 
-def check_segment_count(df: DataFrame) -> DataFrame:
-    """Needs a ``style`` column; counts outside the style's limits are reported."""
+def _segment_count() -> Column:
+    """Counts outside the limits of the row's style."""
     count, bad = F.size("segments"), F.lit(False)
     for style, (low, high) in SEGMENT_LIMITS.items():
         outside = count > high
         if low is not None:
             outside = outside | (count < low)
         bad = bad | ((F.col("style") == style) & outside)
-    return df.where(bad & F.col("segments").isNotNull()).select(
-        "example_id", F.lit("segment_count").alias("rule"), count.cast("string").alias("detail")
-    )
+    return F.when(bad & F.col("segments").isNotNull(), F.array(count.cast("string")))
 
 
-def check_exact_excerpt(df: DataFrame) -> DataFrame:
+def _exact_excerpt() -> Column:
     missing = F.filter("segments", lambda s: F.instr(F.col("cot"), s["text"]) == 0)
-    return _violations(df, "exact_excerpt", F.transform(missing, lambda s: s["id"]))
+    return F.transform(missing, lambda s: s["id"])
 
 
-def check_non_overlap(df: DataFrame) -> DataFrame:
-    """Spans in the text, taken in order; one that starts before the furthest end is reported."""
+def _non_overlap() -> Column:
+    """Spans in the text, taken in order; one that starts before the furthest end is late."""
     spans = F.transform(
         "segments",
         lambda s, i: F.struct(
@@ -135,28 +124,24 @@ def check_non_overlap(df: DataFrame) -> DataFrame:
     )
     placed = F.array_sort(F.filter(spans, lambda s: (s["start"] > 0) & (s["length"] > 0)))
 
-    def overlaps(ordered: Column) -> Column:
-        def advance(seen: Column, s: Column) -> Column:
-            return F.struct(
-                F.greatest(seen["reach"], s["start"] + s["length"]).alias("reach"),
-                F.when(s["start"] < seen["reach"], F.concat(seen["late"], F.array(s["id"])))
-                .otherwise(seen["late"])
-                .alias("late"),
-            )
-
-        start = F.struct(F.lit(0).alias("reach"), empty("array<string>").alias("late"))
-        return F.aggregate(ordered, start, advance, lambda seen: seen["late"])
+    def advance(seen: Column, s: Column) -> Column:
+        late = F.when(s["start"] < seen["reach"], F.concat(seen["late"], F.array(s["id"])))
+        return F.struct(
+            F.greatest(seen["reach"], s["start"] + s["length"]).alias("reach"),
+            late.otherwise(seen["late"]).alias("late"),
+        )
 
-    return _violations(df, "non_overlap", let(placed, overlaps))
+    start = F.struct(F.lit(0).alias("reach"), empty("array<string>").alias("late"))
+    return F.aggregate(placed, start, advance, lambda seen: seen["late"])
 
 
-def check_decontextualized(df: DataFrame) -> DataFrame:
+def _decontextualized() -> Column:
     pattern = rf"(?i)^\s*({'|'.join(TRANSITIONS)})\b|\b({'|'.join(PRONOUNS)})\b"
     leaning = F.filter("segments", lambda s: s["text"].rlike(pattern))
-    return _violations(df, "decontextualized", F.transform(leaning, lambda s: s["id"]))
+    return F.transform(leaning, lambda s: s["id"])
 
 
-def check_graph_covers_required(df: DataFrame) -> DataFrame:
+def _graph_covers_required() -> Column:
     """Texts of required segments without a node, and nodes without a required segment."""
 
     def compare(t: Column) -> Column:
@@ -171,4 +156,29 @@ def check_graph_covers_required(df: DataFrame) -> DataFrame:
         F.transform(filter_required(F.col("segments")), lambda s: s["text"]).alias("required"),
         F.transform("nodes", lambda n: n["text"]).alias("nodes"),
     )
-    return _violations(df, "graph_covers_required", let(texts, compare))
+    return let(texts, compare)
+
+
+RULES = {
+    "sequential_ids": _sequential_ids,
+    "segment_count": _segment_count,
+    "exact_excerpt": _exact_excerpt,
+    "non_overlap": _non_overlap,
+    "decontextualized": _decontextualized,
+    "graph_covers_required": _graph_covers_required,
+}
+
+
+def check_contracts(results: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
+    """Violations of the named prompt rules as (example_id, rule, detail), in one pass.
+
+    Rules read segments, and some of them cot, nodes or style.
+    """
+
+    def entries(rule: str) -> Column:
+        details = F.coalesce(RULES[rule](), empty("array<string>"))
+        return F.transform(
+            details, lambda d: F.struct(F.lit(rule).alias("rule"), d.alias("detail"))
+        )
+
+    return results.select("example_id", F.inline(F.concat(*[entries(rule) for rule in rules])))

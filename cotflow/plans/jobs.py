@@ -11,16 +11,6 @@ from cotflow.operators.orderings import reasoning_paths
 from cotflow.operators.sampling import train_val_split
 from cotflow.operators.scoring import accuracy, score_predictions
 
-CONTRACTS = (
-    segments.check_sequential_ids,
-    segments.check_segment_count,
-    segments.check_exact_excerpt,
-    segments.check_non_overlap,
-    segments.check_decontextualized,
-    segments.check_graph_covers_required,
-)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal small rows out to all cores before work that costs far more than the move.
 
@@ -100,11 +90,3 @@ def export_training(
     return parted.select(
         key, "part", sft_prompt(F.col("question"), F.col("answer")).alias("prompt")
     )
-
-
-def check_contracts(results: DataFrame) -> DataFrame:
-    """Violations of all prompt rules, one row each."""
-    whole = CONTRACTS[0](results)
-    for check in CONTRACTS[1:]:
-        whole = whole.unionByName(check(results))
-    return whole
