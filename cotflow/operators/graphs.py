@@ -47,7 +47,7 @@ def build_graph(nodes: Column, edges: Column) -> Column:
 
     ``codes`` holds each distinct edge as src*n+dst. ``slots`` has one entry per node for
     graphs whose node set fits the bits of a long: the node's own bit, the bits of its
-    predecessors, and both together. Larger graphs use ``wide``: the in-degree, and per
+    predecessors, both together, and the node's text mark. Larger graphs use ``wide``: the in-degree, and per
     node what placing it subtracts from every node's open count (one for each successor,
     and one for itself so that it drops below zero and is not picked again).
     """
@@ -82,6 +82,7 @@ def build_graph(nodes: Column, edges: Column) -> Column:
                 bits,
                 lambda before: F.struct(
                     w.alias("node"),
+                    mark(w).alias("mark"),
                     bit(w).alias("bit"),
                     before.alias("before"),
                     before.bitwiseOR(bit(w)).alias("both"),
@@ -91,6 +92,7 @@ def build_graph(nodes: Column, edges: Column) -> Column:
         def row(v: Column) -> Column:
             return F.struct(
                 v.alias("node"),
+                mark(v).alias("mark"),
                 F.transform(
                     steps,
                     lambda w: F.when(
@@ -122,6 +124,11 @@ def build_graph(nodes: Column, edges: Column) -> Column:
     return let(node_ids(nodes), with_ids)
 
 
+def mark(v: Column) -> Column:
+    """A node number as it is appended to an ordering's text."""
+    return F.concat(F.lit(","), v.cast("string"))
+
+
 def bit(v: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), v)
 

@@ -16,6 +16,7 @@ from cotflow.operators.graphs import (
     CYCLIC,
     INVALID_INPUT,
     MAX_BITS,
+    bit,
     complexity_estimate,
     with_graph,
 )
@@ -26,43 +27,70 @@ CAPS_FULL = {"MEDIUM": 1000, "LOW": 10000}
 CAPS_COTS = {"MEDIUM": 100, "LOW": 200}
 ATTEMPTS_PER_SAMPLE = 5
 
+FIRST_ROUND = 8
+TABLE_BITS = 10
+
 
 class _Bits:
     """Placed nodes as the bits of a long."""
 
-    @staticmethod
-    def start(graph: Column) -> Column:
-        return F.lit(0).cast("bigint")
+    def __init__(self, graph: Column, table: Column | None = None):
+        self.slots, self.table = graph["slots"], table
+        self.start = F.lit(0).cast("bigint")
+
+    def ready(self, placed: Column) -> Column:
+        return F.filter(self.slots, lambda x: placed.bitwiseAND(x["both"]) == x["before"])
 
-    @staticmethod
-    def ready(graph: Column, placed: Column) -> Column:
-        return F.filter(graph["slots"], lambda x: placed.bitwiseAND(x["both"]) == x["before"])
+    def choose(self, placed: Column, rng: Column) -> Column:
+        listed = F.get(self.table, placed.cast("int"))
+        return F.coalesce(_pick(listed, rng), let(self.ready(placed), lambda r: _pick(r, rng)))
 
-    @staticmethod
-    def place(placed: Column, slot: Column) -> Column:
+    def place(self, placed: Column, slot: Column) -> Column:
         return placed.bitwiseOR(slot["bit"])
 
 
 class _Counts:
     """Open predecessor counts per node, for graphs with more nodes than a long has bits."""
 
-    @staticmethod
-    def start(graph: Column) -> Column:
-        return graph["wide"]["degree"]
+    def __init__(self, graph: Column):
+        self.slots, self.start = graph["wide"]["slots"], graph["wide"]["degree"]
 
-    @staticmethod
-    def ready(graph: Column, open_counts: Column) -> Column:
-        return F.filter(
-            graph["wide"]["slots"], lambda x: F.get(open_counts, x["node"]) == 0
-        )
+    def ready(self, open_counts: Column) -> Column:
+        return F.filter(self.slots, lambda x: F.get(open_counts, x["node"]) == 0)
+
+    def choose(self, open_counts: Column, rng: Column) -> Column:
+        return let(self.ready(open_counts), lambda r: _pick(r, rng))
 
-    @staticmethod
-    def place(open_counts: Column, slot: Column) -> Column:
+    def place(self, open_counts: Column, slot: Column) -> Column:
         return F.zip_with(open_counts, slot["block"], lambda d, b: d - b)
 
 
-def _by_size(graph: Column, build: Callable[[type], Column]) -> Column:
-    return F.when(F.size(graph["ids"]) <= MAX_BITS, build(_Bits)).otherwise(build(_Counts))
+_State = _Bits | _Counts
+
+
+def _pick(ready: Column, rng: Column) -> Column:
+    return F.get(ready, F.try_mod(rng, F.size(ready)).cast("int"))
+
+
+def _by_size(
+    graph: Column, build: Callable[[_State], Column], table: Column | None = None
+) -> Column:
+    return F.when(F.size(graph["ids"]) <= MAX_BITS, build(_Bits(graph, table))).otherwise(
+        build(_Counts(graph))
+    )
+
+
+def _ready_table(graph: Column) -> Column:
+    """The ready nodes for every set of placed nodes; NULL unless the graph is small.
+
+    Sampling looks the same few sets up thousands of times.
+    """
+    bits = _Bits(graph)
+    sets = F.sequence(F.lit(0), (bit(F.size(graph["ids"])) - 1).cast("int"))
+    return F.when(
+        F.size(graph["ids"]) <= TABLE_BITS,
+        F.transform(sets, lambda placed: bits.ready(placed.cast("bigint"))),
+    )
 
 
 def enumerate_orderings(graph: Column, cap: Column | int = 10000) -> Column:
@@ -77,13 +105,13 @@ def enumerate_orderings(graph: Column, cap: Column | int = 10000) -> Column:
     return _by_size(graph, lambda state: _enumerate(graph, cap, state))
 
 
-def _enumerate(graph: Column, cap: Column, state: type) -> Column:
+def _enumerate(graph: Column, cap: Column, state: _State) -> Column:
     def grow(prefixes: Column, _: Column) -> Column:
         picks = F.flatten(
             F.transform(
                 prefixes,
                 lambda s: F.transform(
-                    state.ready(graph, s["state"]),
+                    state.ready(s["state"]),
                     lambda x: F.struct(s.alias("parent"), x.alias("slot")),
                 ),
             )
@@ -96,9 +124,7 @@ def _enumerate(graph: Column, cap: Column, state: type) -> Column:
             ),
         )
 
-    start = F.array(
-        F.struct(empty("array<int>").alias("path"), state.start(graph).alias("state"))
-    )
+    start = F.array(F.struct(empty("array<int>").alias("path"), state.start.alias("state")))
     return F.aggregate(
         upto(F.size(graph["ids"])),
         start,
@@ -107,40 +133,56 @@ def _enumerate(graph: Column, cap: Column, state: type) -> Column:
     )
 
 
+def count_orderings(graph: Column, cap: int) -> Column:
+    """The number of orderings of an acyclic graph, or ``cap`` if there are more.
+
+    Every prefix leads to an ordering of its own, so counting stops at the first level
+    that has ``cap`` prefixes.
+    """
+
+    def build(state: _State) -> Column:
+        def grow(states: Column, _: Column) -> Column:
+            children = F.flatten(
+                F.transform(
+                    states,
+                    lambda s: F.transform(state.ready(s), lambda x: state.place(s, x)),
+                )
+            )
+            return F.when(F.size(states) >= cap, states).otherwise(children)
+
+        return F.aggregate(upto(F.size(graph["ids"])), F.array(state.start), grow, F.size)
+
+    return F.least(_by_size(graph, build), F.lit(cap))
+
+
 def is_acyclic(graph: Column) -> Column:
     return F.size(enumerate_orderings(graph, 1)) == 1
 
 
-def _draw(graph: Column, rng: Column, state: type) -> Column:
-    """One random ordering as text '0,2,1': a uniform choice among the ready nodes per step."""
+def _draw(graph: Column, rng: Column, state: _State) -> Column:
+    """One random ordering as text ',0,2,1': a uniform choice among the ready nodes per step."""
 
     def step(s: Column, _: Column) -> Column:
-        def choose(ready: Column) -> Column:
-            return F.get(ready, (s["rng"] % F.greatest(F.size(ready), F.lit(1))).cast("int"))
-
         def advance(slot: Column) -> Column:
             return F.struct(
-                F.concat_ws(",", s["path"], slot["node"].cast("string")).alias("path"),
+                F.concat(s["path"], slot["mark"]).alias("path"),
                 state.place(s["state"], slot).alias("state"),
                 next_state(s["rng"]).alias("rng"),
             )
 
-        return let(let(state.ready(graph, s["state"]), choose), advance)
+        return let(state.choose(s["state"], s["rng"]), advance)
 
-    start = F.struct(
-        F.lit(None).cast("string").alias("path"),
-        state.start(graph).alias("state"),
-        rng.alias("rng"),
-    )
+    start = F.struct(F.lit("").alias("path"), state.start.alias("state"), rng.alias("rng"))
     return F.aggregate(upto(F.size(graph["ids"])), start, step, lambda s: s["path"])
 
 
 def _rounds(attempts: int) -> list[tuple[int, int]]:
-    """1..attempts cut into ranges of doubling length."""
-    cuts, low, width = [], 1, 16
+    """1..attempts cut into ranges, each half as long as all before it."""
+    cuts, low = [], 1
     while low <= attempts:
+        width = max(FIRST_ROUND, low // 2)
         cuts.append((low, min(low + width - 1, attempts)))
-        low, width = low + width, width * 2
+        low += width
     return cuts
 
 
@@ -148,9 +190,9 @@ def sample_orderings(graph: Column, key: Column, n: int = 500, seed: int = 0) ->
     """The first n distinct orderings among 5n random ones, in order of their attempts.
 
     Attempts run in rounds. A round is skipped once n distinct orderings are there, or
-    all the graph has: more attempts could not change the answer then.
+    all the graph has: more attempts could not change the answer then. A cyclic graph
+    has no orderings and gives an empty list.
     """
-
     bounds = F.array(
         *[
             F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
@@ -158,24 +200,28 @@ def sample_orderings(graph: Column, key: Column, n: int = 500, seed: int = 0) ->
         ]
     )
 
-    def run(goal: Column, state: type) -> Column:
+    def run(goal: Column, state: _State) -> Column:
         def one_round(found: Column, bound: Column) -> Column:
             drawn = F.transform(
                 F.sequence(bound["low"], bound["high"]),
                 lambda attempt: _draw(graph, start_state(seed, key, attempt), state),
             )
             return F.when(F.size(found) >= goal, found).otherwise(
-                F.array_distinct(F.concat(found, drawn))
+                F.array_distinct(F.concat(found, F.array_compact(drawn)))
             )
 
         return F.aggregate(bounds, empty("array<string>"), one_round)
 
+    prepared = F.struct(
+        count_orderings(graph, n).alias("goal"), _ready_table(graph).alias("table")
+    )
     found = let(
-        F.size(enumerate_orderings(graph, n)),
-        lambda goal: _by_size(graph, lambda state: run(goal, state)),
+        prepared,
+        lambda p: _by_size(graph, lambda state: run(p["goal"], state), p["table"]),
     )
     return F.transform(
-        F.slice(found, 1, n), lambda text: F.split(text, ",").cast("array<int>")
+        F.slice(found, 1, n),
+        lambda text: F.split(F.substring(text, F.lit(2), F.length(text)), ",").cast("array<int>"),
     )
 
 
