@@ -83,75 +83,65 @@ def preview(paths: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def alternative_cots(
+def cot_records(
     paths: DataFrame, originals: DataFrame, order: str, max_cots: int = 10, seed: int = 0
 ) -> DataFrame:
-    """One row per kept ordering with its texts and its training answer."""
-    capped = paths.withColumn(
-        "kept", kept_numbers(F.size("orderings"), max_cots, seed, F.col("example_id"))
-    )
-    picked = capped.select(
-        "example_id", "total_paths", "method", "node_ids", "node_texts",
+    """Per example its kept orderings, spelled out and numbered, and its original texts.
+
+    ``cots`` is an array of struct(cot_no, path_no, sequence, texts), empty for examples
+    without orderings. Capping happens in the row; only the join by example id shuffles.
+    """
+    numbers = kept_numbers(F.size("orderings"), max_cots, seed, F.col("example_id"))
+
+    def spell(number: Column, at: Column) -> Column:
+        ordering = F.get(F.col("orderings"), number - 1)
+        return F.struct(
+            (at + 1).alias("cot_no"),
+            number.alias("path_no"),
+            spelled(ordering, F.col("node_ids")).alias("sequence"),
+            spelled(ordering, F.col("node_texts")).alias("texts"),
+        )
+
+    records = paths.select(
+        "example_id", "total_paths", "method",
         F.col("complexity_estimate")["complexity"].alias("complexity"),
-        F.transform(
-            "kept",
-            lambda i: F.struct(
-                i.alias("path_no"), F.get(F.col("orderings"), i - 1).alias("ordering")
-            ),
-        ).alias("picks"),
-    )
-    rows = attach_original(picked, originals, order).select(
-        "*", F.posexplode("picks").alias("at", "pick")
+        F.transform(numbers, spell).alias("cots"),
     )
-    spelled_rows = rows.select(
-        "example_id", "total_paths", "method", "complexity", "question", "final_answer",
-        (F.col("at") + 1).alias("cot_no"),
-        F.col("pick")["path_no"].alias("path_no"),
-        F.size("picks").alias("cots_kept"),
-        spelled(F.col("pick")["ordering"], F.col("node_ids")).alias("sequence"),
-        spelled(F.col("pick")["ordering"], F.col("node_texts")).alias("texts"),
-    )
-    return spelled_rows.select(
+    return attach_original(records, originals, order)
+
+
+def alternative_cots(records: DataFrame) -> DataFrame:
+    """One row per kept ordering with its readable text and its training answer."""
+    rows = records.select("example_id", "question", "final_answer", F.inline("cots"))
+    return rows.select(
         "*",
         alt_answer(F.col("texts"), F.col("final_answer")).alias("answer"),
         cot_text(F.col("cot_no"), F.col("sequence"), F.col("texts")).alias("cot_text"),
     )
 
 
-def combined_cots_text(cots: DataFrame) -> DataFrame:
-    """One readable document per example. A group holds at most max_cots texts."""
-    parts = F.array_sort(F.collect_list(F.struct("cot_no", "cot_text")))
-    grouped = cots.groupBy("example_id").agg(
-        F.first("total_paths").alias("total_paths"),
-        F.first("method").alias("method"),
-        F.first("complexity").alias("complexity"),
-        F.first("cots_kept").alias("cots_kept"),
-        parts.alias("parts"),
-    )
+def combined_cots_text(records: DataFrame) -> DataFrame:
+    """One readable document per example that has orderings."""
+    kept = F.size("cots")
     note = F.when(
-        F.col("total_paths") > F.col("cots_kept"),
-        F.concat(
-            F.lit(" (sampled "), F.col("cots_kept"), F.lit(" of "), F.col("total_paths"),
-            F.lit(" paths)"),
-        ),
+        F.col("total_paths") > kept,
+        F.concat(F.lit(" (sampled "), kept, F.lit(" of "), F.col("total_paths"), F.lit(" paths)")),
     ).otherwise("")
-    body = F.array_join(
-        F.transform(
-            "parts",
-            lambda p: F.concat(p["cot_text"], F.lit("\n" + "-" * COT_RULE_WIDTH + "\n\n")),
+    parts = F.transform(
+        "cots",
+        lambda c: F.concat(
+            cot_text(c["cot_no"], c["sequence"], c["texts"]),
+            F.lit("\n" + "-" * COT_RULE_WIDTH + "\n\n"),
         ),
-        "",
     )
-    return grouped.select(
-        "example_id",
-        F.concat(
-            F.lit(f"{HEADING}\nExample: "), F.col("example_id"),
-            F.lit("\nTotal Paths Generated: "), F.col("total_paths"),
-            F.lit(" (method: "), F.col("method"), F.lit(", complexity: "), F.col("complexity"),
-            F.lit(")\nCOTs Saved: "), F.col("cots_kept"), note,
-            F.lit("\n" + "=" * RULE_WIDTH + "\n\n"), body,
-        ).alias("document"),
+    document = F.concat(
+        F.lit(f"{HEADING}\nExample: "), F.col("example_id"),
+        F.lit("\nTotal Paths Generated: "), F.col("total_paths"),
+        F.lit(" (method: "), F.col("method"), F.lit(", complexity: "), F.col("complexity"),
+        F.lit(")\nCOTs Saved: "), kept, note,
+        F.lit("\n" + "=" * RULE_WIDTH + "\n\n"), F.array_join(parts, ""),
     )
+    return records.where(kept > 0).select("example_id", document.alias("document"))
 
 
 def alt_cot_metadata(paths: DataFrame, max_cots: int = 10) -> DataFrame:

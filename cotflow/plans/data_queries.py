@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cotflow.functions import text
-from cotflow.operators import consistency, datasets, multihop, sampling, tools
+from cotflow.operators import consistency, cots, datasets, multihop, orderings, sampling, tools
 from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o
-from cotflow.plans.registry import query
+from cotflow.plans.registry import SQL, query
 from cotflow.session import stage_path
 from cotflow.sources import corpora, readers, writers
 from cotflow.streaming.responses import ingest_responses_stream
@@ -395,6 +395,73 @@ def write_samples_csv(spark, sf_dir):
     return spark.read.options(**options).schema(rows.schema).csv(path)
 
 
+ALT_COTS_SQL = o.sql(
+    o.PATHS + graph_queries.CAPPED,
+    """SELECT example_id, cot_no::INT cot_no, path_no::INT path_no, question, answer, final_answer
+    FROM cots""",
+)
+
+
+@query("write_alt_cots", ALT_COTS_SQL)
+def write_alt_cots(spark, sf_dir):
+    """Writes the three tables of a style and reads the chains of thought back."""
+    paths = inputs.paths(spark, sf_dir)
+    records = cots.cot_records(paths, inputs.results(spark, sf_dir), "example_ord", 10, 5)
+    root = writers.write_alt_cots(
+        cots.alternative_cots(records),
+        cots.alt_cot_metadata(paths, 10),
+        cots.alt_cot_summary(cots.alt_cot_results(paths, 10)),
+        stage_path(spark, "alt"),
+        "direct",
+    )
+    return spark.read.parquet(f"{root}/cots").select(
+        "example_id", "cot_no", "path_no", "question", "answer", "final_answer"
+    )
+
+
+@query(
+    "read_reasoning_paths",
+    o.sql(
+        o.PATHS,
+        """SELECT p.example_id, p.error, p.complexity, p.method, p.total_paths::INT total_paths,
+      s.path_no::INT path_no, s.sequence, s.texts
+    FROM paths p LEFT JOIN spelled s ON s.example_ord = p.example_ord""",
+    ),
+)
+def read_reasoning_paths(spark, sf_dir):
+    """Writes the paths in their stored layout as JSON array files and reads them back."""
+    path = stage_path(spark, "stored")
+    writers.write_samples(writers.stored_paths(inputs.paths(spark, sf_dir)), path, "json")
+    rows = readers.read_reasoning_paths(spark, path).select(
+        "example_id", "error", F.col("complexity_estimate.complexity").alias("complexity"),
+        "method", "total_paths", "node_ids", "node_texts",
+        F.posexplode_outer("orderings").alias("at", "ordering"),
+    )
+
+    def joined(names, mark):
+        return F.when(
+            F.col("ordering").isNotNull(),
+            F.array_join(orderings.spelled(F.col("ordering"), F.col(names)), mark),
+        )
+
+    return rows.select(
+        "example_id", "error", "complexity", "method", "total_paths",
+        (F.col("at") + 1).alias("path_no"),
+        joined("node_ids", " → ").alias("sequence"),
+        joined("node_texts", "\n").alias("texts"),
+    )
+
+
+@query("write_report", SQL["analysis_summary"])
+def write_report(spark, sf_dir):
+    """Writes all report tables and reads the summary back."""
+    paths = inputs.paths(spark, sf_dir)
+    root = stage_path(spark, "report")
+    writers.write_report(jobs.analyze_paths(paths), root)
+    back = spark.read.schema("section string, key string, value double").json(f"{root}/summary")
+    return back.withColumn("value", F.round("value", 9))
+
+
 @query(
     "ingest_responses_stream",
     o.sql(

@@ -558,9 +558,13 @@ def attach_original(spark, sf_dir):
     return cots.attach_original(wanted, older.unionByName(examples), "example_ord")
 
 
-def _cots(spark, sf_dir):
+def _records(spark, sf_dir):
     results = inputs.results(spark, sf_dir)
-    return cots.alternative_cots(inputs.paths(spark, sf_dir), results, "example_ord", 10, 5)
+    return cots.cot_records(inputs.paths(spark, sf_dir), results, "example_ord", 10, 5)
+
+
+def _cots(spark, sf_dir):
+    return cots.alternative_cots(_records(spark, sf_dir))
 
 
 @query(
@@ -599,7 +603,7 @@ def cot_text(spark, sf_dir):
     ),
 )
 def combined_cots_text(spark, sf_dir):
-    return cots.combined_cots_text(_cots(spark, sf_dir))
+    return cots.combined_cots_text(_records(spark, sf_dir))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cotflow.operators.orderings import reasoning_paths
-from cotflow.plans.jobs import spread
+from cotflow.plans.jobs import spread_scan
 from cotflow.session import stage_path
 from cotflow.sources import corpora
 from cotflow.sources.corpora import table
@@ -15,7 +15,7 @@ _STAGED: dict[tuple[str, str, str], str] = {}
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return corpora.examples_from_orders(spread(orders))
+    return corpora.examples_from_orders(spread_scan(orders))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return corpora.segments_from_documents(spread(documents))
+    return corpora.segments_from_documents(spread_scan(documents))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multihop_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.multihop_from_documents(spread(table(spark, sf_dir, "documents")))
+    return corpora.multihop_from_documents(spread_scan(table(spark, sf_dir, "documents")))
 
 
 def tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,24 @@ from cotflow.operators.sampling import train_val_split
 from cotflow.operators.scoring import accuracy, score_predictions
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal small rows out to all cores before work that costs far more than the move.
+    """Deal rows out to all cores before work that costs far more than the move.
 
-    A graph record of some hundred bytes can take milliseconds to enumerate, so scan
-    splits sized by bytes would leave most of a cluster idle.
+    A graph record of a few kilobytes can take milliseconds to enumerate, so splits sized
+    by bytes are far too large for it, and a results file with one array is one task.
     """
+    return df.repartition(_width(df))
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a plain scan only if it has fewer splits than there are cores."""
+    width = _width(scan)
+    return scan if scan.rdd.getNumPartitions() >= width else scan.repartition(width)
+
+
+def _width(df: DataFrame) -> int:
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(shuffle, spark.sparkContext.defaultParallelism))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
 
 
 def graphs_from_answers(examples: DataFrame) -> DataFrame:
@@ -50,8 +60,8 @@ def alternative_sft(
 ) -> DataFrame:
     """Results to training rows: paths, cap, original texts, training layout."""
     paths = reasoning_paths(spread(results), for_cots=True, seed=seed)
-    kept = cots.alternative_cots(paths, results, order, max_cots, seed)
-    return datasets.to_sft_alternative(kept)
+    kept = cots.cot_records(paths, results, order, max_cots, seed)
+    return datasets.to_sft_alternative(cots.alternative_cots(kept))
 
 
 def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:

@@ -156,9 +156,8 @@ def test_read_stored_files(spark, tmp_path):
     ]
     (tmp_path / "p.json").write_text(json.dumps(stored))
     paths = readers.read_reasoning_paths(spark, str(tmp_path / "p.json"))
-    kept = cots.alternative_cots(
-        paths, readers.read_pipeline_results(spark, str(tmp_path / "r.json")), "example_ord"
-    )
+    originals = readers.read_pipeline_results(spark, str(tmp_path / "r.json"))
+    kept = cots.alternative_cots(cots.cot_records(paths, originals, "example_ord"))
     assert [r["answer"] for r in kept.orderBy("cot_no").collect()] == ["t1\nt2", "t2\nt1"]
     tables = jobs.analyze_paths(paths)
     assert tables["flexible"].count() == 2
