@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-TOP_FIRST, TOP_LAST, TOP_FLEXIBLE = 5, 5, 10
+# How many steps of each class the report lists.
+LISTED = {"always_first": 5, "always_last": 5, "flexible": 10}
 
 
 def success_summary(results: DataFrame) -> DataFrame:
@@ -134,12 +135,26 @@ def step_position_variance(positions: DataFrame) -> DataFrame:
     )
 
 
-def top_steps(flexibility: DataFrame, name: str, k: int) -> DataFrame:
-    """The k most frequent steps of one class, ties in order of first encounter."""
-    found = flexibility.where(F.col(name) > 0).orderBy(
-        F.col(name).desc(), F.col(f"{name}_seen")
-    )
-    return found.limit(k).select("step", F.col(name).alias("examples"))
+def top_steps(flexibility: DataFrame, listed: dict[str, int] = LISTED) -> DataFrame:
+    """The most frequent steps of each class, ties in order of first encounter.
+
+    The classes are ranked side by side, so the paths are read once for all of them; the
+    ranks are cut per task before the shuffle.
+    """
+    entries = [
+        F.struct(
+            F.lit(name).alias("class"),
+            F.lit(k).alias("k"),
+            F.col(name).alias("examples"),
+            F.col(f"{name}_seen").alias("seen"),
+        )
+        for name, k in listed.items()
+    ]
+    long = flexibility.select("step", F.inline(F.array(*entries))).where("examples > 0")
+    order = Window.partitionBy("class").orderBy(F.col("examples").desc(), "seen", "step")
+    ranked = long.withColumn("rank", F.row_number().over(order))
+    cut = ranked.where((F.col("rank") <= max(listed.values())) & (F.col("rank") <= F.col("k")))
+    return cut.select("class", "rank", "step", "examples")
 
 
 def analysis_summary(paths: DataFrame) -> DataFrame:

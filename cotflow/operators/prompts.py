@@ -28,13 +28,18 @@ def template_name(style: str, stage: str) -> str:
 
 
 def attach_templates(examples: DataFrame, templates: DataFrame, stage: str) -> DataFrame:
-    """Add the stage's template text by style; templates are (name, template) rows."""
-    style = F.coalesce(F.col("style"), F.lit("regular"))
+    """Add the stage's template text by style; templates are (name, template) rows.
+
+    Few names share all examples, so a shuffle by name would pile them up on as many
+    tasks. The template side is counted first and refused if it is no small table.
+    """
+    named_texts = templates.select("name", "template")
+    if named_texts.limit(MAX_TEMPLATES + 1).count() > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     name = F.lit(template_name("regular", stage))
     for known in STYLE_TEMPLATES:
-        name = F.when(style == known, template_name(known, stage)).otherwise(name)
-    named = examples.withColumn("name", name)
-    return named.join(templates.select("name", "template"), "name", "left")
+        name = F.when(F.col("style") == known, template_name(known, stage)).otherwise(name)
+    return examples.withColumn("name", name).join(F.broadcast(named_texts), "name", "left")
 
 
 def render_prompt(df: DataFrame, template: str) -> Column:

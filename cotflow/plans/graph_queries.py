@@ -414,27 +414,21 @@ def step_position_variance(spark, sf_dir):
     return analysis.step_position_variance(analysis.step_positions(inputs.paths(spark, sf_dir)))
 
 
-TOP_STEPS = (("always_first", 5), ("always_last", 5), ("flexible", 10))
-
-
 @query(
     "top_steps",
     o.sql(
         o.PATHS + CLASSES,
         " UNION ALL ".join(
-            f"SELECT * FROM (SELECT '{name}' class, step, {name} examples FROM flexibility "
-            f"WHERE {name} > 0 ORDER BY {name} DESC, {name}_seen LIMIT {k})"
-            for name, k in TOP_STEPS
+            f"SELECT * FROM (SELECT '{name}' class, row_number() OVER (ORDER BY {name} DESC, "
+            f"{name}_seen)::INT AS \"rank\", step, {name} examples FROM flexibility "
+            f"WHERE {name} > 0) WHERE \"rank\" <= {k}"
+            for name, k in analysis.LISTED.items()
         ),
     ),
 )
 def top_steps(spark, sf_dir):
     flexibility = analysis.step_flexibility(analysis.step_positions(inputs.paths(spark, sf_dir)))
-    parts = [
-        analysis.top_steps(flexibility, name, k).select(F.lit(name).alias("class"), "step", "examples")
-        for name, k in TOP_STEPS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return analysis.top_steps(flexibility)
 
 
 @query(

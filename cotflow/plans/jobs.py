@@ -65,16 +65,12 @@ def alternative_sft(
 
 
 def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
-    """The report's tables. Store ``paths`` first: every table scans it once."""
+    """The report's tables. Store ``paths`` first: they scan it three times in all."""
     positions = analysis.step_positions(paths)
-    flexibility = analysis.step_flexibility(positions)
+    steps = analysis.top_steps(analysis.step_flexibility(positions))
     return {
         "summary": analysis.analysis_summary(paths),
-        "first": analysis.top_steps(flexibility, "always_first", analysis.TOP_FIRST),
-        "last": analysis.top_steps(flexibility, "always_last", analysis.TOP_LAST),
-        "flexible": analysis.top_steps(flexibility, "flexible", analysis.TOP_FLEXIBLE).join(
-            analysis.step_position_variance(positions), "step", "left"
-        ),
+        "steps": steps.join(analysis.step_position_variance(positions), "step", "left"),
     }
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Adaptive execution splits skewed join partitions and picks broadcast sides from
-# measured sizes, so no operator in this package carries a broadcast hint.
+# measured sizes; the one broadcast hint in this package follows a count of its rows.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_FRESH: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", app: str = "cotflow", **extra: str) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -48,9 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fresh = tempfile.mkdtemp(prefix="cotflow-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _FRESH:
+        _FRESH[app] = tempfile.mkdtemp(prefix="cotflow-")
+    return _FRESH[app]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -160,7 +160,7 @@ def test_read_stored_files(spark, tmp_path):
     kept = cots.alternative_cots(cots.cot_records(paths, originals, "example_ord"))
     assert [r["answer"] for r in kept.orderBy("cot_no").collect()] == ["t1\nt2", "t2\nt1"]
     tables = jobs.analyze_paths(paths)
-    assert tables["flexible"].count() == 2
+    assert tables["steps"].count() == 2
 
 
 def test_last_record_in_file_order_wins(spark, tmp_path):
