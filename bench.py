@@ -9,6 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from cotflow.plans import inputs  # noqa: E402
 from cotflow.plans.catalog import QUERIES  # noqa: E402
 from cotflow.session import local_session  # noqa: E402
 
@@ -36,6 +37,8 @@ HEADLINE = [
     "explode_calls",
     "ingest_responses_stream",
 ]
+# From here on the queries read the stored paths.
+FIRST_REPORT = "step_flexibility"
 
 
 def main() -> None:
@@ -46,6 +49,10 @@ def main() -> None:
     QUERIES["split_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
+        if name == FIRST_REPORT:
+            start = time.perf_counter()
+            inputs.paths(spark, sf_dir)
+            seconds["store_paths"] = round(time.perf_counter() - start, 3)
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

@@ -14,6 +14,7 @@ from cotflow.functions.lambdas import let, upto
 from cotflow.functions.text import COT_RULE_WIDTH, RULE_WIDTH, alt_answer, cot_text
 from cotflow.operators.orderings import spelled
 
+# Texts of the readable output.
 NO_PATHS = "No paths found"
 HEADING = "Alternative Chain-of-Thought Reasoning Paths"
 
