@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotflow.llm import language, line_crf, quality, toxicity
+from cotflow.llm import language, line_crf, packing, quality, sharding, toxicity
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
 
@@ -60,3 +60,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.keyed(table(spark, sf_dir, "documents"))
+    placed = sharding.apply_plan(rows, sharding.plan_shards(rows, "size", 40))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
