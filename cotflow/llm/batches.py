@@ -130,7 +130,7 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int, salt: int =
     return span_hashes(codes, starts, starts + size, base)
 
 
-def blocks(batches, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def blocks(batches, column: str, limit: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the batches with about ``limit`` bytes of text each, a long text alone."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
@@ -141,7 +141,8 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.
             before = ends[row - 1] if row else 0
             stop = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
             part = batch.slice(row, stop - row)
-            yield part, Texts(part.column(at))
+            text = part.column(at)
+            yield part, Texts(pc.utf8_lower(text) if lower else text)
             row = stop
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotflow.llm import language, line_crf, packing, quality, sharding, toxicity
+from cotflow.llm import contamination, language, line_crf, packing, quality, sharding, toxicity
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
 
@@ -12,9 +12,14 @@ QUERIES = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return register
 
 
 def learnable(labels: DataFrame, parts: int, held_out: int) -> DataFrame:
@@ -22,7 +27,7 @@ def learnable(labels: DataFrame, parts: int, held_out: int) -> DataFrame:
     return labels.where(fold(F.col("doc_id"), parts) != held_out)
 
 
-@query
+@query()
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = learnable(table(spark, sf_dir, "labels"), 5, 0)
@@ -35,13 +40,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.line_quality(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query
+@query()
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, lambda doc_id: fold(doc_id, 5) != 0)
@@ -50,7 +55,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = learnable(table(spark, sf_dir, "labels"), 4, 2)
     scores = quality.score_documents(table(spark, sf_dir, "documents"), labels)
@@ -62,12 +67,43 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query
+# Words as the operators see them: runs of anything but space, tab to carriage return.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+CONTAINED = f"""
+WITH items AS (
+  SELECT item_id, {WORDS.format("lower(text)")} AS w FROM benchmark
+), shingles AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS shingle
+  FROM (SELECT item_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k
+        FROM items WHERE len(w) > 0)
+), texts AS (
+  SELECT doc_id, {WORDS.format("lower(text)")} AS w FROM documents
+), windows AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM texts, (SELECT DISTINCT n FROM shingles))
+), sizes AS (
+  SELECT item_id, count(*) AS total FROM shingles GROUP BY item_id
+)
+SELECT doc_id, item_id, count(*) / any_value(total) AS containment
+FROM windows JOIN shingles USING (n, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id
+HAVING count(*) >= 0.8 * any_value(total)
+"""
+
+
+@query(CONTAINED)
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.keyed(table(spark, sf_dir, "documents"))
     placed = sharding.apply_plan(rows, sharding.plan_shards(rows, "size", 40))
