@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotflow.llm import contamination, language, line_crf, packing, quality, sharding, toxicity
+from cotflow.llm import contamination, language, line_crf, packing, quality, sharding, substrings, toxicity
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
 
@@ -111,3 +111,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"), digest=True)
