@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotflow.llm import contamination, language, line_crf, packing, quality, sharding, substrings, toxicity
+from cotflow.llm import contamination, language, line_crf, near_dup, packing, quality, quotes, sharding, substrings, toxicity
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
 
@@ -116,3 +116,74 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query()
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Lines, passages and threads the relational way: numbered rows, running sums, recursion.
+LINKED = r"""
+WITH RECURSIVE one AS (
+  SELECT conv_id, turn, min(text) AS text, min(role) AS role FROM conversations GROUP BY conv_id, turn
+), messages AS (
+  SELECT c.conv_id, c.turn, row_number() OVER () AS message,
+    coalesce(c.text, '') || coalesce(
+      chr(10) || chr(10) || a.role || ' wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ')
+      || coalesce(chr(10) || '> ' || b.role || ' wrote:' || chr(10) || '>> '
+                  || replace(b.text, chr(10), chr(10) || '>> '), ''), '') AS text
+  FROM conversations c
+  LEFT JOIN one a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 - (c.turn % 3 = 2)::INT
+  LEFT JOIN one b ON b.conv_id = c.conv_id AND b.turn =
+    (c.turn - 1 - (c.turn % 3 = 2)::INT) - 1 - ((c.turn - 1 - (c.turn % 3 = 2)::INT) % 3 = 2)::INT
+), numbered AS (
+  SELECT message, conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n
+  FROM messages
+), levels AS (
+  SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, line[length(marks) + 1 :] AS said
+  FROM (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+') AS marks FROM numbered)
+), introduced AS (
+  SELECT *, regexp_matches(said, '(?i)\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$')
+    AND coalesce(lead(level) OVER (PARTITION BY message ORDER BY n) > level, false) AS intro
+  FROM levels
+), marked AS (
+  SELECT *, coalesce(lag(level) OVER w = level AND trim(lag(content) OVER w) <> '' AND trim(content) <> '', false) AS goes_on
+  FROM (SELECT *, CASE WHEN intro THEN '' ELSE said END AS content FROM introduced) WINDOW w AS (PARTITION BY message ORDER BY n)
+), runs AS (
+  SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY message ORDER BY n) AS run FROM marked
+), said AS (
+  SELECT message, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(level) AS level,
+    trim(regexp_replace(lower(string_agg(content, chr(10) ORDER BY n)), '[ \t\n\x0b\x0c]+', ' ', 'g')) AS passage
+  FROM runs GROUP BY message, run
+), originals AS (
+  SELECT conv_id, passage, min(turn) AS original FROM said WHERE level = 0 AND passage <> '' GROUP BY conv_id, passage
+), linked AS (
+  SELECT message, count(*) AS n_quoted, count(*) FILTER (original < turn) AS n_linked,
+    max(original) FILTER (original < turn AND level = 1) AS parent_turn
+  FROM said LEFT JOIN originals USING (conv_id, passage)
+  WHERE level > 0 AND passage <> ''
+  GROUP BY message
+), own AS (
+  SELECT message, regexp_replace(string_agg(content, chr(10) ORDER BY n) FILTER (level = 0 AND NOT intro), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS own_text
+  FROM marked GROUP BY message
+), known AS (
+  SELECT m.conv_id, m.turn, l.parent_turn, coalesce(l.n_quoted, 0) AS n_quoted, coalesce(l.n_linked, 0) AS n_linked,
+    coalesce(o.own_text, '') AS own_text
+  FROM messages m LEFT JOIN linked l USING (message) LEFT JOIN own o USING (message)
+), up AS (
+  SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM known WHERE parent_turn IS NULL
+  UNION ALL
+  SELECT k.conv_id, k.turn, up.thread, up.depth + 1 FROM known k JOIN up ON k.conv_id = up.conv_id AND k.parent_turn = up.turn
+)
+SELECT conv_id, turn, thread, parent_turn, depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position, n_quoted, n_linked, own_text
+FROM known JOIN up USING (conv_id, turn)
+"""
+
+
+@query(LINKED)
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the given conversations quote nothing, so they are written as replies first."""
+    return quotes.link_quotes(quotes.quoting_messages(table(spark, sf_dir, "conversations")))
