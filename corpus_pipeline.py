@@ -32,17 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words covered by a 20-word window that starts earlier; no document is dropped."""
-    kept = substrings.deduplicated(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("__cut_id"), F.col("kept_text").alias("__cut_text")
-    )
-    cut = docs.join(kept, docs["doc_id"] == F.col("__cut_id"), "left")
-    changed = F.col("__cut_id").isNotNull()
-    return cut.withColumns(
-        {
-            "text": F.when(changed, F.col("__cut_text")).otherwise(F.col("text")),
-            "n_chars": F.when(changed, F.char_length("__cut_text").cast("long")).otherwise(F.col("n_chars")),
-        }
-    ).select(*docs.columns)
+    cut = substrings.cut_repeated(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

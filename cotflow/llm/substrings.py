@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotflow.llm.batches import Texts, arrow_schema, blocks, covered, prefix_sums, window_hashes, window_starts
-from cotflow.llm.frames import id_and_text, shuffle_parts
+from cotflow.llm.frames import shuffle_parts
 from cotflow.session import stage_path
 
 WINDOW = 20
@@ -46,7 +46,7 @@ CELLS_PER_WINDOW = 8  # and row; more cells, fewer false alarms, longer messages
 RANGE_CELLS = 2_000_000  # messages are grouped by ranges of about so many used cells
 NO_ID = -(2**63)
 
-UNIT = "unit long, windows long, ids binary, known binary, offsets binary, body binary"
+UNIT = "unit long, windows long, ids binary, known binary, offsets binary, body binary, others binary"
 MESSAGE = "unit long, part long, payload binary"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -103,12 +103,15 @@ class Unit:
         return starts, rows, window_hashes(words, starts, size), window_hashes(words, starts, size, 1)
 
 
-def units(docs: DataFrame, size: int, unit_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of UNIT; a unit's texts are compressed together."""
+ID, TEXT = "__unit_id", "__unit_text"
+
+
+def units(docs: DataFrame, size: int, unit_bytes: int, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """Rows of UNIT; a unit's texts are compressed together, and so are the other columns."""
 
     def build(batches):
         number = TaskContext.get().partitionId() << 32
-        for part, texts in blocks(batches, "text", unit_bytes):
+        for part, texts in blocks(batches, TEXT, unit_bytes):
             ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             text = part.column(1).fill_null("").take(pa.array(order))
@@ -125,13 +128,27 @@ def units(docs: DataFrame, size: int, unit_bytes: int, id_col: str, text_col: st
                         "known": known[order].astype(np.uint8).tobytes(),
                         "offsets": ordered.offsets.astype(np.int64).tobytes(),
                         "body": body,
+                        "others": _as_bytes(part.select(others).take(pa.array(order))) if others else None,
                     }
                 ],
                 schema=arrow_schema(UNIT),
             )
             number += 1
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(build, UNIT)
+    columns = [docs[id_col].cast("long").alias(ID), docs[text_col].alias(TEXT), *[docs[c] for c in others]]
+    return docs.select(*columns).mapInArrow(build, UNIT)
+
+
+def _as_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+def _as_batch(raw: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)) as reader:
+        return reader.read_next_batch()
 
 
 def _bucketed(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -318,24 +335,18 @@ def _kept_text(texts: Texts, removed: np.ndarray, row: int) -> str:
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def deduplicated(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES,
-    digest: bool = False,
-) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, and the kept text or its digest.
-
-    The digest is the SHA-256 of the kept words joined by one space.
-    """
-    spark = docs.sparkSession
-    stored = _bucketed(spark, units(docs, window, unit_bytes, id_col, text_col))
+def _searched(docs: DataFrame, window: int, unit_bytes: int, id_col: str, text_col: str, others: list[str]) -> tuple[DataFrame, DataFrame, Shape]:
+    """The stored units, and per unit the messages that name its windows which start earlier elsewhere."""
+    stored = _bucketed(docs.sparkSession, units(docs, window, unit_bytes, id_col, text_col, others))
     shape = Shape.of(stored.agg(F.sum("windows")).first()[0] or 0, window)
+    lean = stored.drop("others")
 
     def sketches(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 yield _batch(sketch_messages(Unit.of(row), shape), MESSAGE)
 
-    counted = stored.mapInArrow(sketches, MESSAGE).groupBy("part").applyInArrow(merge_sketches, MESSAGE)
+    counted = lean.mapInArrow(sketches, MESSAGE).groupBy("part").applyInArrow(merge_sketches, MESSAGE)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -344,28 +355,66 @@ def deduplicated(
             out += window_messages(Unit.of(row), shape, answers)
         return pa.Table.from_batches([_batch(out, MESSAGE)])
 
-    sent = stored.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(candidates, MESSAGE)
-    later = sent.groupBy("part").applyInArrow(find_earliest, MESSAGE)
+    sent = lean.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(candidates, MESSAGE)
+    return stored, sent.groupBy("part").applyInArrow(find_earliest, MESSAGE), shape
+
+
+def _removed(unit: Unit, shape: Shape, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the unit's removed words, and how many each text loses."""
+    removed = removed_words(unit, shape, right.column("payload").to_pylist())
+    sums = prefix_sums(removed)
+    return removed, sums[unit.texts.first_word[1:]] - sums[unit.texts.first_word[:-1]]
+
+
+def deduplicated(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES,
+    digest: bool = False,
+) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, and the kept text or its digest.
+
+    The digest is the SHA-256 of the kept words joined by one space.
+    """
+    stored, later, shape = _searched(docs, window, unit_bytes, id_col, text_col, [])
+    result = DIGEST if digest else KEPT
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             unit = Unit.of(row)
-            t = unit.texts
-            removed = removed_words(unit, shape, right.column("payload").to_pylist())
-            sums = prefix_sums(removed)
-            gone = sums[t.first_word[1:]] - sums[t.first_word[:-1]]
-            for i in range(t.n):
-                result = {
+            removed, gone = _removed(unit, shape, right)
+            for i in range(unit.texts.n):
+                found = {
                     "doc_id": int(unit.ids[i]) if unit.known[i] & 1 else None,
-                    "n_words": int(t.n_words[i]),
+                    "n_words": int(unit.texts.n_words[i]),
                     "n_removed": int(gone[i]),
                 }
                 if digest:
-                    result["kept_sha256"] = hashlib.sha256(_kept_words(t, removed, i)).hexdigest()
+                    found["kept_sha256"] = hashlib.sha256(_kept_words(unit.texts, removed, i)).hexdigest()
                 else:
-                    result["kept_text"] = _kept_text(t, removed, i) if unit.known[i] < 2 else None
-                out.append(result)
-        return pa.Table.from_batches([_batch(out, DIGEST if digest else KEPT)])
+                    found["kept_text"] = _kept_text(unit.texts, removed, i) if unit.known[i] < 2 else None
+                out.append(found)
+        return pa.Table.from_batches([_batch(out, result)])
+
+    return stored.drop("others").groupBy("unit").cogroup(later.groupBy("unit")).applyInArrow(cut, result)
+
+
+def cut_repeated(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES
+) -> DataFrame:
+    """docs, all columns, with repeated words taken out of the texts; texts that lose none stay
+    byte for byte. The other columns travel with the unit, so nothing is joined."""
+    others = [c for c in docs.columns if c != text_col]
+    stored, later, shape = _searched(docs, window, unit_bytes, id_col, text_col, others)
 
-    return stored.groupBy("unit").cogroup(later.groupBy("unit")).applyInArrow(cut, DIGEST if digest else KEPT)
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for row in left.to_pylist():
+            unit = Unit.of(row)
+            removed, _ = _removed(unit, shape, right)
+            kept = [_kept_text(unit.texts, removed, i) if unit.known[i] < 2 else None for i in range(unit.texts.n)]
+            columns = _as_batch(row["others"])
+            tables.append(pa.Table.from_batches([columns]).append_column(text_col, pa.array(kept, pa.string())))
+        return pa.concat_tables(tables)
+
+    schema = docs.select(*others, text_col).schema
+    return stored.groupBy("unit").cogroup(later.groupBy("unit")).applyInArrow(cut, schema).select(*docs.columns)
