@@ -151,9 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     count = lambda toxic, parts: sum(n for (t, p), n in sizes.items() if t == toxic and p in parts)
     if not count(True, range(5)) or not count(False, range(5)):
         return None
-    # Parts 0 and 1 train dictionaries, 2 and 3 weights, 4 the isotonic map; tiny samples serve all.
-    small = min(count(t, p) for t in (True, False) for p in ((0, 1), (2, 3), (4,))) < 20
-    first, second, third = (range(5),) * 3 if small else ((0, 1), (2, 3), (4,))
+    # Parts 0 and 1 train dictionaries, 2 and 3 weights, 4 the isotonic map. In small samples the
+    # dictionaries and weights share their documents, in tiny ones everything does.
+    first, second, third = (0, 1), (2, 3), (4,)
+    small = min(count(t, p) for t in (True, False) for p in (first, second, third)) < 50
+    if small:
+        first, second, third = (0, 1, 2), (0, 1, 2), (3, 4)
+        if not min(count(t, p) for t in (True, False) for p in (first, third)):
+            first = second = third = range(5)
     n_toxic, n_ordinary = count(True, first), count(False, first)
     least = 2 if small else max(3, n_toxic // 100)
     frequent = (
