@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cotflow.functions.lambdas import let
+
 # The two answer patterns and the marker for "no answer".
 STRICT_PATTERN = r"#### (\-?[0-9,]+\.?[0-9]*)\s*$"
 LOOSE_PATTERN = r"####\s*([0-9,.-]+)"
@@ -29,26 +31,56 @@ def final_answer_loose(text: Column) -> Column:
     return F.when(text.rlike(LOOSE_PATTERN), found)
 
 
+def _large_whole(number: Column) -> Column:
+    """All digits of a whole double between 2**62 and 2**115: its high bits times a power of two."""
+
+    def digits(x: Column) -> Column:
+        power = F.pow(F.lit(2.0), F.floor(F.log2(x)) - 53)
+        high = (x / power).try_cast("bigint").cast("decimal(18,0)")
+        return (high * power.try_cast("bigint").cast("decimal(19,0)")).cast("string")
+
+    return F.concat(F.when(number < 0, "-").otherwise(""), let(F.abs(number), digits))
+
+
+def _six_decimals(number: Column) -> Column:
+    """Six decimals. Formatting rounds the shortest decimal form, which errs when that form ends
+    in a five at the seventh place; there the exact product with 10**7 decides."""
+
+    def rounded(x: Column) -> Column:
+        product, wide = x * 1e7, x * 134217729.0
+        high = wide - (wide - x)
+        # What the rounded product lacks: both partial products are exact.
+        rest = (high * 1e7 - product) + (x - high) * 1e7
+        n = F.rint(product).try_cast("bigint")
+        off = (product - n) + rest
+        tenth = F.floor(n / 10).cast("bigint")
+        up = (off > 0) | ((off == 0) & (tenth % 2 == 1))
+        units = tenth + up.cast("bigint")
+        text = F.concat(
+            F.floor(units / 1000000).cast("string"), F.lit("."), F.lpad((units % 1000000).cast("string"), 6, "0")
+        )
+        return F.when((x < 9e8) & (n % 10 == 5) & (F.abs(off) < 0.4), text).otherwise(F.format_string("%.6f", x))
+
+    return F.concat(F.when(number < 0, "-").otherwise(""), let(F.abs(number), rounded))
+
+
 def normalize_number(value: Column) -> Column:
     """Canonical decimal text of a number; '' for anything that is not one.
 
-    Whole numbers print without a fraction, others with at most six digits. Two
-    differences from double formatting elsewhere: exact ties in the seventh digit round
-    up, and whole numbers beyond 2**63 print their shortest decimal form.
+    The number is a double. Whole numbers print all digits of that double (up to 2**115; beyond,
+    their shortest decimal form), others at most six decimals, rounded by the double's exact value
+    and ties to even.
     """
     bare = F.trim(F.replace(F.replace(value, F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
     number = F.when(
         bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")
     )
-    whole = F.when(
-        F.abs(number) < F.lit(9.0e18), number.cast("bigint").cast("string")
-    ).otherwise(
-        F.coalesce(
-            F.when(F.abs(number) < F.lit(1.0e37), number.cast("decimal(38,0)").cast("string")),
-            F.format_string("%.0f", number),
-        )
+    whole = (
+        F.when(F.abs(number) < F.lit(9.0e18), number.cast("bigint").cast("string"))
+        .when(F.abs(number) < F.lit(2.0**115), _large_whole(number))
+        .otherwise(F.format_string("%.0f", number))
     )
-    fraction = F.regexp_replace(F.format_string("%.6f", number), r"\.?0+$", "")
+    fraction = F.regexp_replace(_six_decimals(number), r"\.?0+$", "")
     special = F.lower(bare).rlike(r"^[+-]?(inf|infinity|nan)$")
     special_text = F.regexp_replace(
         F.regexp_replace(F.lower(bare), "infinity", "inf"), r"^\+|^[+-]?(?=nan)", ""

@@ -16,10 +16,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ints(*values: int) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<int>")
-
-
 def empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 

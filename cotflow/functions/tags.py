@@ -14,13 +14,19 @@ def tag_text(response: Column, tag: str) -> Column:
     return F.when(response.rlike(pattern), F.regexp_extract(response, pattern, 1))
 
 
+# JSON as the standard has it: no comments, single quotes or bare control characters.
+STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedControlChars": "false"}
+
+
 def json_list(text: Column, element: str) -> Column:
-    """Parse text that must be exactly one JSON list; NULL otherwise.
+    """Parse text that must be exactly one strict JSON list; NULL otherwise.
 
     The text is wrapped in one more list first: the parser stops at the end of the first
     value, so without the wrapping it would accept anything that follows the list.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<array<{element}>>")
+    wrapped = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), f"array<array<{element}>>", STRICT
+    )
     return let(
         wrapped,
         lambda w: F.when(text.startswith("[") & (F.size(w) == 1), F.get(w, F.lit(0))),
@@ -36,7 +42,16 @@ def extract_cot(response: Column) -> Column:
 
 
 def extract_segments(response: Column) -> Column:
-    return json_list(tag_text(response, "segments"), _element(schemas.SEGMENTS))
+    """Segments of a response; a flag may be written as a number or as true or false."""
+    raw = json_list(tag_text(response, "segments"), "struct<id:string,text:string,is_required:string>")
+
+    def flagged(s: Column) -> Column:
+        flag = F.when(s["is_required"] == "true", 1).when(s["is_required"] == "false", 0)
+        number = s["is_required"].try_cast("double")
+        whole = F.when(number == F.rint(number), number.try_cast("int"))
+        return F.struct(s["id"].alias("id"), s["text"].alias("text"), flag.otherwise(whole).alias("is_required"))
+
+    return F.transform(raw, flagged)
 
 
 def extract_nodes(response: Column) -> Column:
@@ -46,7 +61,7 @@ def extract_nodes(response: Column) -> Column:
 def extract_edges(response: Column) -> Column:
     """Edge lists of any length; an entry that is not a list becomes NULL, not a failure."""
     entries = json_list(tag_text(response, "edges"), "string")
-    return F.transform(entries, lambda e: F.from_json(e, "array<string>"))
+    return F.transform(entries, lambda e: F.from_json(e, "array<string>", STRICT))
 
 
 def extract_graph(response: Column) -> Column:

@@ -68,13 +68,26 @@ def render_template(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def indented_json(segments: Column) -> Column:
-    """A segment list as indented JSON text, one key per line."""
+def _ascii(text: Column) -> Column:
+    """Every character beyond ASCII as the escapes of its UTF-16 units."""
+
+    def escaped(char: Column) -> Column:
+        units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
+        return F.when(char.rlike(r"[^\x00-\x7f]"), F.regexp_replace(units, "(....)", r"\\u$1")).otherwise(char)
+
+    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+    whole = F.array_join(F.transform(chars, escaped), "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
+
+
+def indented_json(segments: Column, ascii_only: bool = True) -> Column:
+    """A segment list as indented JSON text, one key per line; non-ASCII characters are escaped
+    unless ``ascii_only`` is off."""
 
     def quoted(value: Column) -> Column:
         listed = F.to_json(F.array(value))
         inner = F.substring(listed, F.lit(2), F.length(listed) - 2)
-        return F.when(value.isNull(), F.lit("null")).otherwise(inner)
+        return F.when(value.isNull(), F.lit("null")).otherwise(_ascii(inner) if ascii_only else inner)
 
     def one(s: Column) -> Column:
         return F.concat(
@@ -174,7 +187,3 @@ def alt_answer(texts: Column, final_answer: Column) -> Column:
         F.coalesce(final_answer, F.lit("")) != "",
         F.concat(steps, F.lit("\n#### "), final_answer),
     ).otherwise(steps)
-
-
-def lines(text: Column) -> Column:
-    return F.split(text, "\n")

@@ -116,6 +116,9 @@ def step_flexibility(positions: DataFrame) -> DataFrame:
         "flexible": ~fixed,
     }
     seen = F.struct(F.col("example_ord"), F.col("first_path_pos"))
+    if dict(positions.dtypes)["example_ord"] in ("int", "bigint"):
+        # One long, so that the aggregate hashes: positions take 20 bits.
+        seen = F.col("example_ord").cast("bigint") * (1 << 20) + F.col("first_path_pos")
     aggregates = []
     for name, hit in classes.items():
         aggregates += [

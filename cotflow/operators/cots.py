@@ -22,11 +22,17 @@ HEADING = "Alternative Chain-of-Thought Reasoning Paths"
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last record per key, as when later entries overwrite earlier ones.
 
-    An aggregate rather than a window: copies of a hot key combine before the shuffle.
+    A missing order comes before any other; of records with one order the larger digest counts,
+    so a rerun chooses alike. Only (key, order, digest) is aggregated, copies of a hot key
+    combining before the shuffle; the records move once, to meet their key's winner.
     """
     rest = [c for c in df.columns if c != key]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("last"))
-    return last.select(key, *[F.col("last")[c].alias(c) for c in rest])
+    marked = df.withColumn("__place", F.struct(F.col(order), F.xxhash64(*rest)))
+    best = marked.groupBy(F.col(key).alias("__key")).agg(F.max("__place").alias("__best"))
+    won = marked.join(best, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place").eqNullSafe(F.col("__best"))))
+    # What is left of one key is one record, or copies of it.
+    once = Window.partitionBy(key).orderBy(F.lit(1))
+    return won.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*df.columns)
 
 
 def attach_original(paths: DataFrame, originals: DataFrame, order: str) -> DataFrame:

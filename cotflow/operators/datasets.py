@@ -15,12 +15,15 @@ def _or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
-def to_sft_original(examples: DataFrame, split: str = "train") -> DataFrame:
-    """Missing texts become ''; a final answer that was not found stays NULL."""
-    if split not in SPLITS:
-        raise ValueError(f"invalid split {split!r}: must be one of {SPLITS}")
+def to_sft_original(examples: DataFrame, split: str | Column = "train") -> DataFrame:
+    """Missing texts become ''; a final answer that was not found stays NULL. The split is one
+    name for all rows or a column."""
+    if isinstance(split, str):
+        if split not in SPLITS:
+            raise ValueError(f"invalid split {split!r}: must be one of {SPLITS}")
+        split = F.lit(split)
     return examples.select(
-        F.lit(split).alias("split"),
+        split.alias("split"),
         id_suffix(F.col("example_id")).alias("id"),
         _or_empty("question"),
         _or_empty("answer"),

@@ -18,7 +18,6 @@ from cotflow.functions.text import (
 from cotflow.operators.segments import filter_required
 
 STAGES = ("cot", "segments", "graph")
-MAX_TEMPLATES = 1000
 
 
 def template_name(style: str, stage: str) -> str:
@@ -30,12 +29,12 @@ def template_name(style: str, stage: str) -> str:
 def attach_templates(examples: DataFrame, templates: DataFrame, stage: str) -> DataFrame:
     """Add the stage's template text by style; templates are (name, template) rows.
 
-    Few names share all examples, so a shuffle by name would pile them up on as many
-    tasks. The template side is counted first and refused if it is no small table.
+    Few names share all examples, so a shuffle by name would pile them up on as many tasks. Only
+    the names that some style asks for are broadcast, one text each, so that side is bounded by
+    the list of styles. Of several texts of one name the largest counts.
     """
-    named_texts = templates.select("name", "template")
-    if named_texts.limit(MAX_TEMPLATES + 1).count() > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    asked = sorted({template_name(style, stage) for style in STYLE_TEMPLATES})
+    named_texts = templates.where(F.col("name").isin(asked)).groupBy("name").agg(F.max("template").alias("template"))
     name = F.lit(template_name("regular", stage))
     for known in STYLE_TEMPLATES:
         name = F.when(F.col("style") == known, template_name(known, stage)).otherwise(name)
@@ -59,27 +58,29 @@ def render_prompt(df: DataFrame, template: str) -> Column:
 def render_requests(df: DataFrame, templates: dict[str, str], stage: str) -> DataFrame:
     """One request per example: system and user message of the stage's filled template.
 
-    Templates are a handful of texts that live in the plan, so rendering is a projection.
-    ``df`` may mix styles.
+    Templates are a handful of texts that live in the plan, so rendering is a projection. ``df``
+    may mix styles; a style of it whose template was not given fails the row that needs it, and
+    a missing regular template fails at once.
     """
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    prompt = render_prompt(df, templates[template_name("regular", stage)])
+    regular = template_name("regular", stage)
+    if regular not in templates:
+        raise KeyError(f"no template {regular!r}")
+    prompt = render_prompt(df, templates[regular])
     for style in STYLE_TEMPLATES:
         name = template_name(style, stage)
-        if name in templates and name != template_name("regular", stage):
-            prompt = F.when(
-                F.col("style") == style, render_prompt(df, templates[name])
-            ).otherwise(prompt)
+        if name == regular:
+            continue
+        lacking = F.raise_error(F.lit(f"no template {name!r} for style {style!r}")).cast("string")
+        own = render_prompt(df, templates[name]) if name in templates else lacking
+        prompt = F.when(F.col("style") == style, own).otherwise(prompt)
     rendered = df.select("example_id", F.lit(stage).alias("stage"), split_prompt(prompt).alias("p"))
     return rendered.select("example_id", "stage", "p.system", "p.user")
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each request with its response; NULL where none came back."""
-    return requests.join(
-        responses.select("example_id", "stage", "response"), ["example_id", "stage"], "left"
-    )
+    """Each request with its response; NULL where none came back, the largest of several."""
+    one = responses.groupBy("example_id", "stage").agg(F.max("response").alias("response"))
+    return requests.join(one, ["example_id", "stage"], "left")
 
 
 def generate_with(requests: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> DataFrame:

@@ -112,27 +112,21 @@ def _exact_excerpt() -> Column:
 
 
 def _non_overlap() -> Column:
-    """Spans in the text, taken in order; one that starts before the furthest end is late."""
-    spans = F.transform(
-        "segments",
-        lambda s, i: F.struct(
-            F.instr(F.col("cot"), s["text"]).alias("start"),
-            i.alias("at"),
-            F.length(s["text"]).alias("length"),
-            s["id"].alias("id"),
-        ),
-    )
-    placed = F.array_sort(F.filter(spans, lambda s: (s["start"] > 0) & (s["length"] > 0)))
+    """Segments are looked up one after the other, each behind the end of the one before; a text
+    that stands in the chain of thought, but nowhere behind that end, overlaps."""
+    cot = F.col("cot")
 
     def advance(seen: Column, s: Column) -> Column:
-        late = F.when(s["start"] < seen["reach"], F.concat(seen["late"], F.array(s["id"])))
+        ahead = F.position(s["text"], cot, seen["reach"])
+        late = (ahead == 0) & (F.instr(cot, s["text"]) > 0)
         return F.struct(
-            F.greatest(seen["reach"], s["start"] + s["length"]).alias("reach"),
-            late.otherwise(seen["late"]).alias("late"),
+            F.when(ahead > 0, ahead + F.length(s["text"])).otherwise(seen["reach"]).alias("reach"),
+            F.when(late, F.concat(seen["late"], F.array(s["id"]))).otherwise(seen["late"]).alias("late"),
         )
 
-    start = F.struct(F.lit(0).alias("reach"), empty("array<string>").alias("late"))
-    return F.aggregate(placed, start, advance, lambda seen: seen["late"])
+    worded = F.filter("segments", lambda s: F.coalesce(s["text"], F.lit("")) != "")
+    start = F.struct(F.lit(1).alias("reach"), empty("array<string>").alias("late"))
+    return F.aggregate(worded, start, advance, lambda seen: seen["late"])
 
 
 def _decontextualized() -> Column:

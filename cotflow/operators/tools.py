@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cotflow.functions.lambdas import empty
-from cotflow.functions.tags import json_list
+from cotflow.functions.tags import STRICT, json_list
 
 # Texts for missing fields.
 NO_NAME, NO_DESCRIPTION = "Unknown", "No description"
@@ -15,13 +15,19 @@ CALL = "struct<name:string,arguments:string>"
 
 
 def parse_tool_calls(df: DataFrame) -> DataFrame:
-    """Both lists parsed; an empty text is an empty list, and if either is broken both are."""
+    """Both lists parsed; an empty text is an empty list, and if either is broken both are.
+
+    Broken means not strict JSON. A valid value that is no list holds no entries itself, but
+    leaves the other side as it is.
+    """
 
     def parsed(name: str, element: str) -> Column:
         blank = F.coalesce(F.col(name), F.lit("")) == ""
-        return F.when(blank, empty(f"array<{element}>")).otherwise(
-            json_list(F.trim(F.col(name)), element)
-        )
+        text = F.trim(F.col(name))
+        # One value and nothing else, of whatever kind.
+        wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
+        other = (F.size(wrapped) == 1) & ~text.startswith("[")
+        return F.when(blank | other, empty(f"array<{element}>")).otherwise(json_list(text, element))
 
     both = df.select(
         "id", "query",

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cotflow.functions import text
 from cotflow.operators import consistency, cots, datasets, multihop, orderings, sampling, tools
-from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o
+from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o, text_queries
 from cotflow.plans.registry import SQL, query
 from cotflow.session import stage_path
 from cotflow.sources import corpora, readers, writers
@@ -64,7 +63,7 @@ def train_val_split_grouped(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || example_ord)) rn, count(*) OVER () n
   FROM examples)""",
         f"""SELECT example_ord::VARCHAR id, CASE WHEN rn <= ceil(0.1 * n) THEN 'validation'
-      ELSE 'train' END part, '{text.MATH_SYSTEM.replace("'", "''")}' || chr(10) || 'Question: '
+      ELSE 'train' END part, '{text_queries.MATH_SQL}' || chr(10) || 'Question: '
       || question || chr(10) || 'Answer: ' || answer prompt FROM r""",
     ),
 )

@@ -422,7 +422,7 @@ def step_position_variance(spark, sf_dir):
             f"SELECT * FROM (SELECT '{name}' class, row_number() OVER (ORDER BY {name} DESC, "
             f"{name}_seen)::INT AS \"rank\", step, {name} examples FROM flexibility "
             f"WHERE {name} > 0) WHERE \"rank\" <= {k}"
-            for name, k in analysis.LISTED.items()
+            for name, k in (("always_first", 5), ("always_last", 5), ("flexible", 10))
         ),
     ),
 )
@@ -536,7 +536,8 @@ def keep_last(spark, sf_dir):
         o.EXAMPLES,
         """SELECT d.example_id, coalesce(question, '') question, coalesce(answer, '') answer,
       coalesce(final_answer, '') final_answer
-    FROM (SELECT 'orders_train_' || (doc_id * 20) example_id FROM documents) d
+    FROM (SELECT 'orders_train_' || o_orderkey example_id FROM orders
+      UNION ALL SELECT 'nobody_' || doc_id FROM documents) d
     LEFT JOIN examples e ON e.example_id = d.example_id""",
     ),
 )
@@ -546,9 +547,10 @@ def attach_original(spark, sf_dir):
     older = examples.withColumns(
         {"question": F.lit("old"), "example_ord": -F.col("example_ord") - 1}
     )
-    wanted = inputs.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("orders_train_"), F.col("doc_id") * 20).alias("example_id")
+    unknown = inputs.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("nobody_"), "doc_id").alias("example_id")
     )
+    wanted = examples.select("example_id").unionByName(unknown)
     return cots.attach_original(wanted, older.unionByName(examples), "example_ord")
 
 
@@ -702,11 +704,8 @@ def union_styles(spark, sf_dir):
 )
 def split_counts(spark, sf_dir):
     examples = inputs.examples(spark, sf_dir)
-    test = F.col("example_ord") % 10 == 0
-    sft = datasets.to_sft_original(examples.where(~test), "train").unionByName(
-        datasets.to_sft_original(examples.where(test), "test")
-    )
-    return datasets.split_counts(sft)
+    split = F.when(F.col("example_ord") % 10 == 0, "test").otherwise("train")
+    return datasets.split_counts(datasets.to_sft_original(examples, split))
 
 
 @query(

@@ -75,11 +75,12 @@ def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
 
 
 def check_ids(rows: DataFrame, reference_file: str | None = None) -> dict[str, DataFrame]:
-    differences = consistency.id_differences(rows, reference_file=reference_file)
+    names = consistency.file_names(rows)
+    differences = consistency.id_differences(rows, names, reference_file)
     return {
         "files": consistency.ids_per_file(rows),
         "differences": consistency.sorted_differences(differences),
-        "consistent": consistency.ids_consistent(differences),
+        "consistent": consistency.ids_consistent(differences, len(names)),
     }
 
 

@@ -280,7 +280,8 @@ doc AS (
   SELECT k, 'documents_train_' || k example_id, {style("k")} style, cot,
     list_transform(lines, lambda x, i: {{
       'id': 's' || (i + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END),
-      'text': CASE WHEN (k + i - 1) % 13 = 0 THEN x || '!' ELSE x END,
+      'text': CASE WHEN (k + i - 1) % 13 = 0 THEN x || '!' WHEN (k + i - 1) % 17 = 5 AND i > 1
+        THEN substr(lines[i - 1], length(lines[i - 1]) // 2 + 1) ELSE x END,
       'is_required': CASE WHEN length(x) % 3 = 2 THEN NULL ELSE length(x) % 3 END}}) segments
   FROM doc0),
 doc_rows AS (

@@ -298,6 +298,8 @@ TEMPLATES = {
     "segment_cot": 'Cut into [{{"id": "s1"}}].\n---USER---\nQ: {question}\nText: {cot_output_from_prompt_1}',
     "segment_cot_direct": "Cut the answer.\n---USER---\n{answer} {{kept}}",
     "create_graph": "Link.\n---USER---\n{question}\n{segments_from_prompt_2}\n{{}}",
+    "create_graph_decontextualized": "Link alone.\n---USER---\n{question}\n{segments_from_prompt_2}\n{{}}",
+    "create_graph_direct": "Link answers.\n---USER---\n{question}\n{segments_from_prompt_2}\n{{}}",
 }
 
 
@@ -305,7 +307,10 @@ TEMPLATES = {
     "render_prompt",
     o.sql(
         o.RESULTS,
-        """SELECT example_id, 'graph' stage, 'Link.' AS system, question || chr(10)
+        """SELECT example_id, 'graph' stage, CASE
+        WHEN style IN ('direct', 'reasoning_only_direct') THEN 'Link answers.'
+        WHEN style IN ('decontextualized', 'reasoning_only_decontextualized') THEN 'Link alone.'
+        ELSE 'Link.' END AS system, question || chr(10)
       || CASE WHEN len(segments) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string(
         list_transform(segments, lambda s: '  {' || chr(10) || '    "id": "' || s.id || '",'
           || chr(10) || '    "text": "' || s.text || '",' || chr(10) || '    "is_required": '
@@ -319,20 +324,20 @@ def render_prompt(spark, sf_dir):
     return requests.withColumnRenamed("user", "user_text")
 
 
-def _template_sql(style: str) -> str:
-    segment = " ".join(f"WHEN '{s}' THEN '{t[0]}'" for s, t in text.STYLE_TEMPLATES.items())
-    graph = " ".join(f"WHEN '{s}' THEN '{t[1]}'" for s, t in text.STYLE_TEMPLATES.items())
-    return (
-        f"CASE {style} {segment} ELSE 'segment_cot' END segment_template, "
-        f"CASE {style} {graph} ELSE 'create_graph' END graph_template"
-    )
+# Written out, so that a wrong mapping in the package shows.
+STYLE_SQL = """CASE style WHEN 'consolidated' THEN 'segment_cot_consolidated'
+      WHEN 'decontextualized' THEN 'segment_cot_decontextualized' WHEN 'direct' THEN 'segment_cot_direct'
+      WHEN 'reasoning_only_decontextualized' THEN 'segment_cot_reasoning_only_decontextualized'
+      WHEN 'reasoning_only_direct' THEN 'segment_cot_reasoning_only_direct' ELSE 'segment_cot' END segment_template,
+    CASE WHEN style IN ('decontextualized', 'reasoning_only_decontextualized') THEN 'create_graph_decontextualized'
+      WHEN style IN ('direct', 'reasoning_only_direct') THEN 'create_graph_direct' ELSE 'create_graph' END graph_template"""
 
 
 @query(
     "templates_for_style",
     f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN source ELSE
       {o.style("doc_id")} END style FROM documents)
-    SELECT doc_id, style, {_template_sql("style")} FROM s""",
+    SELECT doc_id, style, {STYLE_SQL} FROM s""",
 )
 def templates_for_style(spark, sf_dir):
     key = F.col("doc_id")
@@ -349,10 +354,12 @@ def templates_for_style(spark, sf_dir):
     "attach_templates",
     o.sql(
         o.EXAMPLES,
-        f"""SELECT example_id, style, name, CASE name {" ".join(
-            f"WHEN '{n}' THEN '{t}'" for n, t in TEMPLATES.items())} END AS template
-      FROM (SELECT *, segment_template name FROM (SELECT example_id, style,
-        {_template_sql("style")} FROM examples))""",
+        f"""SELECT example_id, style, name, CASE name
+        WHEN 'segment_cot' THEN 'Cut into [{{{{"id": "s1"}}}}].' || chr(10) || '---USER---' || chr(10)
+          || 'Q: {{question}}' || chr(10) || 'Text: {{cot_output_from_prompt_1}}'
+        WHEN 'segment_cot_direct' THEN 'Cut the answer.' || chr(10) || '---USER---' || chr(10)
+          || '{{answer}} {{{{kept}}}}' END AS template
+      FROM (SELECT *, segment_template name FROM (SELECT example_id, style, {STYLE_SQL} FROM examples))""",
     ),
 )
 def attach_templates(spark, sf_dir):
@@ -361,10 +368,17 @@ def attach_templates(spark, sf_dir):
     return prompts.attach_templates(rows, stored, "segments")
 
 
+# The system text written out, quotes doubled for SQL.
+MATH_SQL = (
+    "You are a helpful assistant that solves math problems step by step. Always end your answer with "
+    "''#### [number]'' where [number] is the final numerical answer."
+)
+
+
 def _prompt_sql(tail: str) -> str:
     return o.sql(
         o.TURNS,
-        f"SELECT example_id, '{text.MATH_SYSTEM.replace(chr(39), chr(39) * 2)}' || chr(10) || "
+        f"SELECT example_id, '{MATH_SQL}' || chr(10) || "
         f"'Question: ' || question || chr(10) || 'Answer:' || {tail} prompt, "
         f"'Question: ' || question || chr(10) || 'Answer:' || {tail} bare FROM turns",
     )
@@ -490,9 +504,14 @@ RULE_SQL = {
       OR (style IN ('reasoning_only_decontextualized', 'reasoning_only_direct') AND len(segments) > 12)
       OR (style = 'consolidated' AND NOT len(segments) BETWEEN 5 AND 8)""",
     "exact_excerpt": "SELECT example_id, id detail FROM doc_rows WHERE instr(cot, text) = 0",
-    "non_overlap": """SELECT example_id, id detail FROM (SELECT *, max(start + length(text)) OVER (
-      PARTITION BY example_id ORDER BY start, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach
-      FROM (SELECT *, instr(cot, text) start FROM doc_rows) WHERE start > 0) WHERE start < reach""",
+    "non_overlap": """SELECT example_id, unnest(found.late) detail FROM (SELECT example_id, list_reduce(
+      segments, lambda seen, s: {
+        'cot': seen.cot,
+        'reach': CASE WHEN s.text <> '' AND instr(substr(seen.cot, seen.reach), s.text) > 0
+          THEN seen.reach + instr(substr(seen.cot, seen.reach), s.text) - 1 + length(s.text) ELSE seen.reach END,
+        'late': CASE WHEN s.text <> '' AND instr(substr(seen.cot, seen.reach), s.text) = 0 AND instr(seen.cot, s.text) > 0
+          THEN list_append(seen.late, s.id) ELSE seen.late END},
+      {'cot': cot, 'reach': 1::BIGINT, 'late': []::VARCHAR[]}) found FROM doc)""",
     "decontextualized": r"""SELECT example_id, id detail FROM doc_rows WHERE regexp_matches(text,
       '(?i)^\s*(so|then|therefore|thus|next)\b|\b(it|this|that|these|them)\b')""",
     "graph_covers_required": """SELECT example_id, 'missing: ' || text detail FROM (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -41,22 +44,37 @@ def local_session(cores: int | str = "*", app: str = "cotflow", **extra: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a fresh folder. On a
-    cluster a machine-local folder would be lost with its executor, so that is an error.
+    Only a session of one JVM (``local`` or ``local[n]``) may go without the setting; it then
+    gets a folder that is removed when Python ends. On a cluster a machine-local folder would be
+    lost with its executor, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _FRESH:
         _FRESH[app] = tempfile.mkdtemp(prefix="cotflow-")
+        atexit.register(shutil.rmtree, _FRESH[app], ignore_errors=True)
     return _FRESH[app]
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what this session staged; call it when no result that reads a stage is needed."""
+    jvm = spark.sparkContext._jvm
+    for path in _STAGES.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -195,15 +195,25 @@ def responses_from_results(results: DataFrame) -> DataFrame:
 
 
 def segments_from_documents(documents: DataFrame) -> DataFrame:
-    """Whole documents as chains of thought, one segment per non-empty line."""
+    """Whole documents as chains of thought, one segment per non-empty line.
+
+    Some segments get a text of their own that stands nowhere, some the second half of the line
+    before, which overlaps that line's segment.
+    """
     key = F.col("doc_id")
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     shift = F.when(key % 7 == 0, 1).otherwise(0)
+
+    def half(x: Column) -> Column:
+        return F.substring(x, F.floor(F.length(x) / 2).cast("int") + 1, F.length(x))
+
     segments = F.transform(
         lines,
         lambda x, i: F.struct(
             F.concat(F.lit("s"), _text(i + 1 + shift)).alias("id"),
-            F.when((key + i) % 13 == 0, F.concat(x, F.lit("!"))).otherwise(x).alias("text"),
+            F.when((key + i) % 13 == 0, F.concat(x, F.lit("!")))
+            .when(((key + i) % 17 == 5) & (i > 0), half(F.get(lines, i - 1)))
+            .otherwise(x).alias("text"),
             F.when(F.length(x) % 3 == 2, F.lit(None)).otherwise(F.length(x) % 3).cast("int").alias("is_required"),
         ),
     )

@@ -7,8 +7,7 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from cotflow.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +25,10 @@ def test_sql_belongs_to_queries():
     assert set(QUERIES) - set(SQL) == {"reasoning_paths_full"}
 
 
+def test_registered_queries_are_offered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r["bucket"] for r in rows} <= {"single_path", "2-10_paths", "11-100_paths", "100+_paths"}

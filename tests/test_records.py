@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -26,28 +27,33 @@ def many(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 4999, 5000])
-def test_large_sample_path_picks_the_same_rows(many, monkeypatch, n):
-    small = ids(sampling.sample_n(many, n, 7)) if n else []
-    monkeypatch.setattr(sampling, "SORT_LIMIT", -1)
-    assert ids(sampling.sample_n(many, n, 7)) == small
-    assert len(small) == n
-
-
-@pytest.mark.parametrize("prefix", [1, 2])
-def test_large_sample_with_several_rounds(many, monkeypatch, prefix):
-    want = ids(sampling.sample_n(many, 321, 1))
-    monkeypatch.setattr(sampling, "SORT_LIMIT", -1)
+@pytest.mark.parametrize("prefix", [1, 4])
+def test_sample_is_the_smallest_digests(many, monkeypatch, n, prefix):
     monkeypatch.setattr(sampling, "PREFIX", prefix)
-    assert ids(sampling.sample_n(many.repartition(2), 321, 1)) == want
+    keys = sorted((hashlib.md5(f"7|e_{i}".encode()).hexdigest(), f"e_{i}") for i in range(5000))
+    assert ids(sampling.sample_n(many.repartition(2), n, 7)) == sorted(k for _, k in keys[:n])
 
 
-def test_sample_errors(spark, many, monkeypatch):
+def test_sample_too_large(many):
     with pytest.raises(ValueError):
         sampling.sample_n(many, 5001, 7)
-    monkeypatch.setattr(sampling, "SORT_LIMIT", -1)
-    same = spark.range(10).select(F.lit("x").alias("example_id"))
-    with pytest.raises(ValueError, match="not unique"):
-        sampling.sample_n(same, 3, 7)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_keys_and_rows(spark, seed):
+    """Rows that share a key are told apart, equal rows are counted."""
+    shared = spark.range(1400).select((F.col("id") % 20).alias("example_id"), F.col("id").alias("row"))
+    for n in (0, 1, 69, 70, 71, 700, 1400):
+        got = [r["row"] for r in sampling.sample_n(shared, n, seed).collect()]
+        assert len(got) == len(set(got)) == n
+        again = [r["row"] for r in sampling.sample_n(shared.repartition(3), n, seed).collect()]
+        assert sorted(again) == sorted(got)
+    same = spark.range(100).select(F.lit("x").alias("example_id"), (F.col("id") % 3).alias("v"))
+    for n in (3, 33, 50, 99):
+        assert sampling.sample_n(same, n, seed).count() == n
+        parts = sampling.train_val_split(same, n / 100, seed)
+        assert parts.where("part = 'validation'").count() == n
+        assert {r["v"]: r["count"] for r in parts.groupBy("v").count().collect()} == {0: 34, 1: 33, 2: 33}
 
 
 def test_split_sizes_and_groups(many):
@@ -63,6 +69,8 @@ def test_head(many):
     rows = many.withColumn("example_ord", F.substring_index("example_id", "_", -1).cast("int"))
     assert ids(sampling.head_n(rows, 3)) == ["e_0", "e_1", "e_2"]
     assert sampling.head_n(rows, None).count() == 5000
+    sparse = rows.withColumn("example_ord", F.struct((F.col("example_ord") * 10).alias("block"), F.lit(1).alias("row")))
+    assert ids(sampling.head_n(sparse, 20)) == sorted(f"e_{i}" for i in range(20))
 
 
 def test_id_differences(spark):
@@ -203,6 +211,9 @@ def test_tool_rows(spark):
     df = tools.parse_tool_calls(spark.createDataFrame(rows, schemas.TOOL_ROW))
     sizes = {r["id"]: (len(r["tools"]), len(r["answers"])) for r in df.collect()}
     assert sizes == {1: (2, 1), 2: (0, 0), 3: (0, 1), 4: (0, 0)}
+    loose = [(1, "q", good, "[{'name': 'f'}]"), (2, "q", good, '{"name": "f"}'), (3, "q", "[1,]", calls), (4, "q", good, "x")]
+    df2 = tools.parse_tool_calls(spark.createDataFrame(loose, schemas.TOOL_ROW))
+    assert {r["id"]: (len(r["tools"]), len(r["answers"])) for r in df2.collect()} == {1: (0, 0), 2: (2, 0), 3: (0, 0), 4: (0, 0)}
     first = [tuple(r) for r in tools.explode_tools(df.where("id = 1")).orderBy("tool_no").collect()]
     assert first == [(1, 1, "f", "No description"), (1, 2, "Unknown", "d")]
     assert tools.explode_calls(df.where("id = 1")).first()["arguments"] == '{"b":1,"a":[1,2]}'
@@ -222,6 +233,15 @@ def test_tags(spark):
     df = spark.createDataFrame([(r,) for r, _ in edges], "r string")
     got = [r[0] for r in df.select(tags.extract_edges(F.col("r"))).collect()]
     assert got == [want for _, want in edges]
+    segments = [
+        ('[{"id":"a","text":"t","is_required":true},{"id":"b","text":"u","is_required":0}]', [1, 0]),
+        ('[{"id":"a","text":"t","is_required":1.0},{"id":"b","text":"u"}]', [1, None]),
+        ("[{'id':'a','text':'t','is_required':1}]", None), ('[{"id":"a"}, /* b */ {"id":"c"}]', None),
+        ('[{"id":"a","text":"tab\there"}]', None), ('[{"id":"a"},]', None),
+    ]
+    df = spark.createDataFrame([(f"<segments>{r}</segments>",) for r, _ in segments], "r string")
+    got = [r[0] for r in df.select(tags.extract_segments(F.col("r"))).collect()]
+    assert [g and [s["is_required"] for s in g] for g in got] == [want for _, want in segments]
 
 
 def test_prompts(spark, tmp_path):
@@ -233,7 +253,9 @@ def test_prompts(spark, tmp_path):
     assert tuple(cut["d"]) == (text.DEFAULT_SYSTEM, "only")
     (tmp_path / "one.txt").write_text("Hi {question} {{x}}")
     stored = readers.read_prompt_templates(spark, str(tmp_path), ["one"])
-    assert readers.template_dict(stored) == {"one": "Hi {question} {{x}}"}
+    assert readers.template_dict(stored, ["one"]) == {"one": "Hi {question} {{x}}"}
+    with pytest.raises(KeyError):
+        readers.template_dict(stored, ["one", "two"])
     with pytest.raises(FileNotFoundError):
         readers.read_prompt_templates(spark, str(tmp_path), ["one", "two"])
     df = spark.createDataFrame([("{answer} }}",)], "q string")
