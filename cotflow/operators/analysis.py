@@ -213,3 +213,76 @@ def analysis_summary(paths: DataFrame) -> DataFrame:
     listed = closed.select("section", "key", F.coalesce(value, F.lit(0.0)).alias("value"))
     fixed = F.col("section").isin("totals", "flexibility_stats")
     return listed.where(fixed | (F.col("value") > 0))
+
+
+# Headings of the text report.
+TITLE = "REASONING PATHS ANALYSIS REPORT"
+SECTIONS = ("SUMMARY", "GENERATION METHODS", "PATH COUNT DISTRIBUTION", "REASONING STEP PATTERNS")
+STEP_HEADINGS = {
+    "always_first": "Steps that always come first:",
+    "always_last": "Steps that always come last:",
+    "flexible": "Most flexible steps (variable position):",
+}
+
+
+def analysis_report(summary: DataFrame, steps: DataFrame) -> DataFrame:
+    """The readable report as lines (section, place, line) in that order.
+
+    ``summary`` is the long table; ``steps`` has class, rank, step, examples and position_range.
+    Only totals, methods, path classes and the listed steps are read, so the report stays small.
+    """
+
+    def texts(section: int, rows: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
+        return [(section, place, line) for place, line in rows]
+
+    fixed = texts(0, [(0, TITLE), (1, "=" * 50), (2, "")])
+    for number, (name, width) in enumerate(zip(SECTIONS, (20, 20, 25, 25), strict=True), 1):
+        fixed += texts(number, [(-2, name), (-1, "-" * width)])
+        fixed += texts(number, [(10_000, "")]) if number < 4 else []
+    lines = summary.sparkSession.createDataFrame(fixed, "section int, place int, line string")
+
+    totals = {
+        "total_examples": (1, "Total Examples: "), "successful_examples": (2, "Successful: "),
+        "examples_with_multiple_paths": (4, "Examples with Multiple Paths: "),
+        "avg_paths_per_example": (5, "Average Paths per Example: "), "max_paths": (6, "Maximum Paths Found: "),
+    }
+    number = F.coalesce("value", F.lit(0.0))
+    whole = number.cast("bigint").cast("string")
+    for key, (place, label) in totals.items():
+        shown = F.format_string("%.1f", number) if key == "avg_paths_per_example" else whole
+        lines = lines.unionByName(
+            summary.where(F.col("section").isin("totals", "flexibility_stats") & (F.col("key") == key)).select(
+                F.lit(1).alias("section"), F.lit(place).alias("place"), F.concat(F.lit(label), shown).alias("line")
+            )
+        )
+    failed = summary.where("section = 'totals'").agg(
+        F.sum(F.when(F.col("key") == "total_examples", F.col("value")).otherwise(-F.col("value"))).alias("value")
+    )
+    lines = lines.unionByName(
+        failed.select(F.lit(1).alias("section"), F.lit(3).alias("place"), F.concat(F.lit("Failed: "), whole).alias("line"))
+    )
+    order = Window.orderBy("key")
+    for section, name in ((2, "method_usage"), (3, "path_distribution")):
+        rows = summary.where((F.col("section") == name) & (F.col("value") > 0))
+        title = F.initcap(F.translate("key", "_", " "))
+        lines = lines.unionByName(
+            # A handful of methods and path classes.
+            rows.select(
+                F.lit(section).alias("section"), F.row_number().over(order).alias("place"),
+                F.concat(title, F.lit(": "), whole, F.lit(" examples")).alias("line"),
+            )
+        )
+    for i, (name, heading) in enumerate(STEP_HEADINGS.items()):
+        own = steps.where(F.col("class") == name)
+        shown = F.concat(F.lit("  "), "step", F.lit(": "), F.col("examples").cast("string"), F.lit(" examples"))
+        if name == "flexible":
+            spread = F.coalesce("position_range", F.lit(0)).cast("string")
+            shown = F.concat(shown, F.lit(" (variance: "), spread, F.lit(")"))
+        ends = [F.struct(F.lit(100 * i).alias("place"), F.lit(heading).alias("line"))]
+        if name != "flexible":
+            ends.append(F.struct(F.lit(100 * i + 99).alias("place"), F.lit("").alias("line")))
+        framed = own.where("rank = 1").select(F.lit(4).alias("section"), F.inline(F.array(*ends)))
+        lines = lines.unionByName(framed).unionByName(
+            own.select(F.lit(4).alias("section"), (F.lit(100 * i) + F.col("rank")).alias("place"), shown.alias("line"))
+        )
+    return lines.orderBy("section", "place")

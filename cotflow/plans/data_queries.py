@@ -491,3 +491,113 @@ def ingest_responses_stream_query(spark, sf_dir):
     return back.select(
         "example_id", "stage", "cot", count("segments"), count("nodes"), count("edges")
     )
+
+
+REPORT_SQL = f"""
+WITH summary AS ({SQL["analysis_summary"]}), steps AS (
+  SELECT t.*, position_range FROM ({SQL["top_steps"]}) t LEFT JOIN ({SQL["step_position_variance"]}) v USING (step)
+), wide AS (
+  SELECT max(value) FILTER (key = 'total_examples') total, max(value) FILTER (key = 'successful_examples') good,
+    max(value) FILTER (key = 'examples_with_multiple_paths') several,
+    max(value) FILTER (key = 'avg_paths_per_example') mean, max(value) FILTER (key = 'max_paths') most
+  FROM summary WHERE section IN ('totals', 'flexibility_stats')
+), counted AS (
+  SELECT CASE section WHEN 'method_usage' THEN 2 ELSE 3 END section, row_number() OVER (PARTITION BY section ORDER BY key) place,
+    CASE key WHEN 'exhaustive' THEN 'Exhaustive' WHEN 'sampling' THEN 'Sampling' WHEN 'unknown' THEN 'Unknown'
+      WHEN 'single_path' THEN 'Single Path' ELSE replace(key, '_paths', ' Paths') END || ': ' || value::BIGINT || ' examples' line
+  FROM summary WHERE section IN ('method_usage', 'path_distribution') AND value > 0
+), listed AS (
+  SELECT 4 section, rank + CASE class WHEN 'always_first' THEN 0 WHEN 'always_last' THEN 100 ELSE 200 END place,
+    '  ' || step || ': ' || examples || ' examples'
+      || CASE WHEN class = 'flexible' THEN ' (variance: ' || coalesce(position_range, 0) || ')' ELSE '' END line
+  FROM steps
+), lines AS (
+  SELECT unnest([0, 0, 0]) section, unnest([0, 1, 2]) place,
+    unnest(['REASONING PATHS ANALYSIS REPORT', repeat('=', 50), '']) line
+  UNION ALL SELECT unnest([1, 2, 3, 4]), -2,
+    unnest(['SUMMARY', 'GENERATION METHODS', 'PATH COUNT DISTRIBUTION', 'REASONING STEP PATTERNS'])
+  UNION ALL SELECT unnest([1, 2, 3, 4]), -1, unnest([repeat('-', 20), repeat('-', 20), repeat('-', 25), repeat('-', 25)])
+  UNION ALL SELECT unnest([1, 2, 3]), 10000, ''
+  UNION ALL SELECT 1, unnest([1, 2, 3, 4, 5, 6]), unnest(['Total Examples: ' || total::BIGINT, 'Successful: ' || good::BIGINT,
+    'Failed: ' || (total - good)::BIGINT, 'Examples with Multiple Paths: ' || several::BIGINT,
+    'Average Paths per Example: ' || printf('%.1f', mean), 'Maximum Paths Found: ' || most::BIGINT]) FROM wide
+  UNION ALL SELECT * FROM counted UNION ALL SELECT * FROM listed
+  UNION ALL SELECT DISTINCT 4, CASE class WHEN 'always_first' THEN 0 WHEN 'always_last' THEN 100 ELSE 200 END,
+    CASE class WHEN 'always_first' THEN 'Steps that always come first:' WHEN 'always_last' THEN 'Steps that always come last:'
+      ELSE 'Most flexible steps (variable position):' END FROM steps
+  UNION ALL SELECT DISTINCT 4, CASE class WHEN 'always_first' THEN 99 ELSE 199 END, '' FROM steps WHERE class <> 'flexible'
+)
+SELECT section::INT section, place::INT place, line FROM lines"""
+
+
+@query("analysis_report", REPORT_SQL)
+def analysis_report(spark, sf_dir):
+    return jobs.analyze_paths(inputs.paths(spark, sf_dir))["report"]
+
+
+@query(
+    "head_n_sparse",
+    o.sql(o.EXAMPLES, "SELECT example_id, question FROM examples ORDER BY example_ord LIMIT 100"),
+)
+def head_n_sparse(spark, sf_dir):
+    """The first rows by an index with gaps, of the struct type that readers give."""
+    place = F.struct((F.col("example_ord") * 10).alias("block"), F.lit(1).alias("row"))
+    rows = inputs.examples(spark, sf_dir).withColumn("example_ord", place)
+    return sampling.head_n(rows, 100).select("example_id", "question")
+
+
+@query(
+    "sample_n_large",
+    """SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER () n,
+      row_number() OVER (ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber)) rn FROM lineitem)
+    WHERE rn <= n - n // 4""",
+)
+def sample_n_large(spark, sf_dir):
+    """Three quarters of the line items, by a key of two columns."""
+    rows = corpora.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    n = rows.count()
+    return sampling.sample_n(rows, n - n // 4, 42, ["l_orderkey", "l_linenumber"])
+
+
+UNSEEDED = graph_queries.CAPPED.replace("'5|", "'0|")
+
+
+@query("alternative_sft", o.sql(o.PATHS + UNSEEDED, graph_queries.SFT_ALT))
+def alternative_sft(spark, sf_dir):
+    return jobs.alternative_sft(inputs.results(spark, sf_dir), "example_ord")
+
+
+@query(
+    "export_training_alternative",
+    o.sql(
+        o.PATHS
+        + UNSEEDED
+        + f""",
+sft AS ({graph_queries.SFT_ALT}),
+ranked AS (SELECT *, count(*) OVER () n, row_number() OVER (ORDER BY md5('42|' || id), md5(to_json(
+  {{'split': split, 'id': id, 'question': question, 'answer': answer, 'final_answer': final_answer}}))) rn FROM sft)""",
+        f"""SELECT id, CASE WHEN rn <= ceil(0.1 * n) THEN 'validation' ELSE 'train' END part,
+      '{text_queries.MATH_SQL}' || chr(10) || 'Question: ' || question || chr(10) || 'Answer: ' || answer prompt FROM ranked""",
+    ),
+)
+def export_training_alternative(spark, sf_dir):
+    """Chains of thought of one question share their id; rows are split one by one."""
+    return jobs.export_training(jobs.alternative_sft(inputs.results(spark, sf_dir), "example_ord"))
+
+
+@query("check_ids", SQL["id_differences"])
+def check_ids(spark, sf_dir):
+    return jobs.check_ids(inputs.sft_ids(spark, sf_dir), "original.jsonl")["differences"]
+
+
+@query("score", SQL["accuracy"])
+def score(spark, sf_dir):
+    examples = inputs.examples(spark, sf_dir)
+    return jobs.score(corpora.predictions_from_examples(examples), examples)[1]
+
+
+@query("parse_responses", o.sql(text_queries.ASSEMBLED, """SELECT count(*) FILTER (failed_stage IS NULL) successful, count(*) total,
+      100 * count(*) FILTER (failed_stage IS NULL) / count(*) AS "percent" FROM staged"""))
+def parse_responses(spark, sf_dir):
+    rows = inputs.examples(spark, sf_dir)
+    return jobs.parse_responses(rows, corpora.responses_from_results(corpora.results_from_examples(rows)))[1]

@@ -68,10 +68,9 @@ def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
     """The report's tables. Store ``paths`` first: they scan it three times in all."""
     positions = analysis.step_positions(paths)
     steps = analysis.top_steps(analysis.step_flexibility(positions))
-    return {
-        "summary": analysis.analysis_summary(paths),
-        "steps": steps.join(analysis.step_position_variance(positions), "step", "left"),
-    }
+    steps = steps.join(analysis.step_position_variance(positions), "step", "left")
+    summary = analysis.analysis_summary(paths)
+    return {"summary": summary, "steps": steps, "report": analysis.analysis_report(summary, steps)}
 
 
 def check_ids(rows: DataFrame, reference_file: str | None = None) -> dict[str, DataFrame]:
