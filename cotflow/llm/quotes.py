@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cotflow.functions.lambdas import computed_once, let
 from cotflow.llm.frames import shuffle_parts, staged
 
 RESULT = [
@@ -61,13 +62,19 @@ def _introduces(lines: Column, line: Column, i: Column) -> Column:
 
 def passages(lines: Column) -> Column:
     """Array of (level, normalised text); linear in the number of lines."""
-    # Introductions end a passage like an empty line.
-    lines = F.transform(
+    # Introductions end a passage like an empty line. ``let``: the lambdas below look at
+    # neighbours, and would otherwise make the whole array anew for every line.
+    blanked = F.transform(
         lines,
         lambda line, i: F.struct(
             line["level"].alias("level"), F.when(_introduces(lines, line, i), "").otherwise(line["content"]).alias("content")
         ),
     )
+    return let(blanked, _runs)
+
+
+def _runs(lines: Column) -> Column:
+    """The passages of lines whose introductions are empty already."""
 
     def same(a: Column, b: Column) -> Column:
         return F.coalesce((a["level"] == b["level"]) & ~_blank(a) & ~_blank(b), F.lit(False))
@@ -100,9 +107,10 @@ def own_text(lines: Column) -> Column:
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """One row per message, with the columns of RESULT."""
-    parsed = messages.select(
-        messages[conv_col].alias("conv_id"), messages[turn_col].alias("turn"), _lines(messages[text_col]).alias("lines")
+    named = messages.select(
+        messages[conv_col].alias("conv_id"), messages[turn_col].alias("turn"), messages[text_col].alias("text")
     )
+    parsed = computed_once(named, ["conv_id", "turn"], _lines(F.col("text")).alias("lines"))
     parsed = staged(
         parsed.select("conv_id", "turn", own_text(F.col("lines")).alias("own_text"), passages(F.col("lines")).alias("passages"))
         .withColumn("message", F.monotonically_increasing_id()),
@@ -134,7 +142,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def thread_roots(replies: DataFrame) -> DataFrame:
     """(conv_id, turn, thread, depth) by pointer doubling: the number of rounds is the logarithm
-    of the longest chain of replies."""
+    of the longest chain of replies, and only messages whose thread is still open take part."""
     turns = (
         replies.dropna(subset=["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent_turn"))
     )
@@ -142,21 +150,25 @@ def thread_roots(replies: DataFrame) -> DataFrame:
         turns.select(
             "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("thread"),
             F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+            F.col("parent_turn").isNull().alias("closed"),
         ),
         "quotes-roots",
     )
-    while True:
-        ahead = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
+    known, still_open = state.where("closed"), state.where("NOT closed")
+    while not still_open.isEmpty():
+        ahead = known.unionByName(still_open).select(
+            "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"),
+            F.col("depth").alias("more"), F.col("closed").alias("ends"),
+        )
         moved = staged(
-            state.join(ahead, ["conv_id", "thread"], "left").select(
-                "conv_id", "turn", F.coalesce("further", "thread").alias("thread"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("went"),
+            still_open.join(ahead, ["conv_id", "thread"]).select(
+                "conv_id", "turn", F.col("further").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"),
+                F.col("ends").alias("closed"),
             ),
             "quotes-roots",
         )
-        if moved.where("went").isEmpty():
-            return moved.drop("went")
-        state = moved.drop("went")
+        known, still_open = known.unionByName(moved.where("closed")), moved.where("NOT closed")
+    return known.drop("closed")
 
 
 def with_positions(rows: DataFrame) -> DataFrame:
