@@ -341,3 +341,73 @@ def test_stream_appends_each_file_once(spark, tmp_path):
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_last_record_without_order_and_ties(spark):
+    rows = [("a", None, "x"), ("b", 1, "old"), ("b", None, "none"), ("b", 2, "new"), (None, 1, "null key")]
+    rows += [("c", 1, "one"), ("c", 1, "two"), ("d", 1, "same"), ("d", 1, "same")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    got = [{r["k"]: r["v"] for r in cots.keep_last(df.repartition(n), "k", "o").collect()} for n in (1, 4)]
+    assert got[0] == got[1] and cots.keep_last(df, "k", "o").count() == 5
+    assert got[0] | {"c": ""} == {"a": "x", "b": "new", "c": "", "d": "same", None: "null key"}
+
+
+def test_missing_template_is_an_error(spark):
+    df = spark.createDataFrame([("e", "direct", "q", "a", "1")], "example_id string, style string, question string, answer string, final_answer string")
+    with pytest.raises(KeyError):
+        prompts.render_requests(df, {}, "segments")
+    only = {"segment_cot": "Q {question}"}
+    with pytest.raises(Exception, match="segment_cot_direct"):
+        prompts.render_requests(df, only, "segments").collect()
+    assert prompts.render_requests(df.withColumn("style", F.lit("regular")), only, "segments").first()["user"] == "Q q"
+
+
+def test_repeated_responses_do_not_repeat_requests(spark):
+    requests = spark.createDataFrame([("e", "cot"), ("f", "cot")], "example_id string, stage string")
+    responses = spark.createDataFrame([("e", "cot", "a"), ("e", "cot", "b")], "example_id string, stage string, response string")
+    got = {r["example_id"]: r["response"] for r in prompts.attach_responses(requests, responses).collect()}
+    assert got == {"e": "b", "f": None} and prompts.attach_responses(requests, responses).count() == 2
+
+
+def test_reference_file_and_single_file(spark):
+    rows = spark.createDataFrame([("a", "1"), ("a", "2")], "file string, id string")
+    with pytest.raises(ValueError, match="'b'"):
+        consistency.id_differences(rows, reference_file="b")
+    assert jobs.check_ids(rows)["consistent"].first()["consistent"] is None
+    two = rows.union(spark.createDataFrame([("b", "1")], "file string, id string"))
+    assert jobs.check_ids(two)["consistent"].first()["consistent"] is False
+
+
+def test_prompt_json_is_ascii(spark):
+    texts = ["plain \"quoted\" \n", "é ü", "日本 😀 x", ""]
+    segments = F.array(*[F.struct(F.lit(f"s{i}").alias("id"), F.lit(t).alias("text"), F.lit(i).alias("is_required")) for i, t in enumerate(texts)])
+    want = [{"id": f"s{i}", "text": t, "is_required": i} for i, t in enumerate(texts)]
+    row = spark.range(1).select(text.indented_json(segments).alias("a"), text.indented_json(segments, False).alias("b")).first()
+    assert row["a"] == json.dumps(want, indent=2) and row["b"] == json.dumps(want, indent=2, ensure_ascii=False)
+
+
+def test_first_multihop_records(spark, tmp_path):
+    rows = [{"_id": f"r{i}", "question": "q", "context": []} for i in range(200)]
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    got = readers.read_multihop_json(spark, str(tmp_path / "m.jsonl"), 7, array_file=False)
+    assert {r["id"] for r in got.collect()} == {f"r{i}" for i in range(7)}
+
+
+def test_writers_do_not_overwrite_unasked(spark, tmp_path):
+    rows = spark.range(3)
+    writers.write_report({"t": rows}, str(tmp_path / "r"))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        writers.write_report({"t": rows}, str(tmp_path / "r"))
+    writers.write_report({"t": rows}, str(tmp_path / "r"), mode="overwrite")
+
+
+def test_separate_cuts_of_a_repeated_sentence_do_not_overlap(spark):
+    def late(cot, cuts):
+        made = F.array(*[F.struct(F.lit(f"s{i + 1}").alias("id"), F.lit(c).alias("text"), F.lit(1).alias("is_required")) for i, c in enumerate(cuts)])
+        df = spark.range(1).select(F.lit("e").alias("example_id"), F.lit(cot).alias("cot"), made.alias("segments"))
+        return [r["detail"] for r in segments.check_contracts(df, ("non_overlap",)).collect()]
+
+    assert late("ab. cd. ab.", ["ab.", "cd.", "ab."]) == []
+    assert late("ab. cd.", ["ab.", "b. c", "cd."]) == ["s2"]
+    assert late("ab. cd.", ["cd.", "ab."]) == ["s2"]
+    assert late("ab.", ["ab.", "", "zz"]) == []
