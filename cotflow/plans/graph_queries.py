@@ -516,22 +516,25 @@ def preview(spark, sf_dir):
 @query(
     "keep_last",
     """SELECT l_orderkey, max_by(l_shipdate, ord) l_shipdate, max_by(l_partkey, ord) l_partkey
-    FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN '' ELSE strftime(l_shipdate, '%Y%m%d')
-      || lpad(l_partkey::VARCHAR, 9, '0') || lpad(l_linenumber::VARCHAR, 3, '0') END ord FROM lineitem)
-    GROUP BY l_orderkey""",
+    FROM (SELECT *, strftime(l_shipdate, '%Y%m%d') || lpad(l_partkey::VARCHAR, 9, '0')
+      || lpad(l_linenumber::VARCHAR, 3, '0') ord FROM lineitem) GROUP BY l_orderkey
+    UNION ALL SELECT -1 - o_orderkey, NULL, o_custkey FROM orders""",
 )
 def keep_last(spark, sf_dir):
-    """First line items have no order: they lose against others, and stay where there are none.
-    Every row comes twice, so every winner has an equal."""
+    """Line items, and one record without any order per order. Every row comes twice, so every
+    winner has an equal."""
     items = inputs.table(spark, sf_dir, "lineitem")
-    items = items.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     order = F.concat(
         F.date_format("l_shipdate", "yyyyMMdd"),
         F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
         F.lpad(F.col("l_linenumber").cast("string"), 3, "0"),
     )
-    order = F.when(F.col("l_linenumber") > 1, order)
     rows = items.select("l_orderkey", "l_shipdate", "l_partkey", order.alias("ord"))
+    unplaced = inputs.table(spark, sf_dir, "orders").select(
+        (-1 - F.col("o_orderkey")).alias("l_orderkey"), F.lit(None).cast("timestamp_ntz").alias("l_shipdate"),
+        F.col("o_custkey").alias("l_partkey"), F.lit(None).cast("string").alias("ord"),
+    )
+    rows = rows.unionByName(unplaced).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return cots.keep_last(rows, "l_orderkey", "ord").drop("ord")
 
 
