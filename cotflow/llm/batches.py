@@ -12,15 +12,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Rows are handled in blocks of about so many bytes of text, whatever the batch size.
-BLOCK_BYTES = 4 << 20
+# Rows are handled in blocks of about so many bytes of text, whatever the batch size: a block's
+# arrays take some thirty times that.
+BLOCK_BYTES = 1_000_000
 
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ class Texts:
         return np.repeat(np.arange(self.n), self.n_words)
 
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE_CODES[self.data], self.starts, self.ends)
+        return span_hashes(BYTE_CODES[self.data], self.starts, self.ends)
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each row are flagged."""
@@ -144,6 +145,8 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES, lower: bool = False)
             text = part.column(at)
             yield part, Texts(pc.utf8_lower(text) if lower else text)
             row = stop
+        # Workers live on: give back what the batch needed.
+        pa.default_memory_pool().release_unused()
 
 
 def repeats(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

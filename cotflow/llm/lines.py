@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from cotflow.llm.batches import (
-    _BYTE_CODES, Texts, covered, prefix_sums, repeats, span_hashes, window_hashes, window_starts,
+    BYTE_CODES, Texts, covered, prefix_sums, repeats, span_hashes, window_hashes, window_starts,
 )
 
 
@@ -52,7 +52,7 @@ class Lines:
         self.first_word = np.searchsorted(t.starts, self.starts)
         self.n_words = np.searchsorted(t.starts, self.ends) - self.first_word
         self.first_line = np.searchsorted(self.rows, np.arange(t.n + 1))
-        hashes = span_hashes(_BYTE_CODES[t.data], self.starts, self.ends)
+        hashes = span_hashes(BYTE_CODES[t.data], self.starts, self.ends)
         worded = self.n_words > 0
         self.repeated, self.earlier = np.zeros(self.n, bool), np.zeros(self.n, bool)
         self.repeated[worded], self.earlier[worded] = repeats(self.rows[worded], hashes[worded])

@@ -37,7 +37,7 @@ from cotflow.llm.frames import id_and_text
 CAPACITY = 2048
 WINDOW = 4096  # remainders that wait at most, besides those being packed
 END_ID = 1
-REMEMBERED = 500_000  # tokenised words per worker process, and as many parts of words
+REMEMBERED = 300_000  # tokenised words per worker process, and as many parts of words
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -34,7 +34,7 @@ REPEAT = 4
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 # Bounds of the sample of labelled documents that the classifier is fitted on.
 TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS = 4000, 12000
-REMEMBERED = 400_000  # words per task
+REMEMBERED = 200_000  # words per task
 MAX_WORD = 200  # characters; longer runs of letters are looked at in pieces
 NO_WINDOW = -20.0  # weight of a document without windows
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD)
