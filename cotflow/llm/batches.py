@@ -145,8 +145,12 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES, lower: bool = False)
             text = part.column(at)
             yield part, Texts(pc.utf8_lower(text) if lower else text)
             row = stop
-        # Workers live on: give back what the batch needed.
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return what a batch needed to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
 
 
 def repeats(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,13 +31,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cotflow.llm.batches import arrow_schema
+from cotflow.llm.batches import arrow_schema, give_back
 from cotflow.llm.frames import id_and_text
 
 CAPACITY = 2048
 WINDOW = 4096  # remainders that wait at most, besides those being packed
 END_ID = 1
-REMEMBERED = 300_000  # tokenised words per worker process, and as many parts of words
+REMEMBERED = 300_000  # tokenised words per task, and as many parts of words
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -99,6 +99,11 @@ class Encoder:
             return self._piece(word)
         return b"".join([self.pieces[p] for p in self.parts.findall(word)])
 
+    def forget(self) -> None:
+        """Empty the memories; the worker may run other work next."""
+        self.words.clear()
+        self.pieces.clear()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         return [self.encode(t or "") for t in texts]
 
@@ -124,7 +129,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process: tasks share what it remembers."""
+    """One per worker process, as the vocabulary takes long to load."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -304,8 +309,10 @@ def pack(
                 if done:
                     yield columns(number, done)
                     number += len(done)
+            give_back()
         done = list(packer.finish())
         if done:
             yield columns(number, done)
+        encode.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, shape)

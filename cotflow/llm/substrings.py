@@ -40,7 +40,7 @@ from cotflow.llm.frames import shuffle_parts
 from cotflow.session import stage_path
 
 WINDOW = 20
-UNIT_BYTES = 2_000_000
+UNIT_BYTES = 1_000_000
 DEPTH = 2
 CELLS_PER_WINDOW = 8  # and row; more cells, fewer false alarms, longer messages
 RANGE_CELLS = 2_000_000  # messages are grouped by ranges of about so many used cells

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cotflow.llm.batches import arrow_schema
+from cotflow.llm.batches import arrow_schema, give_back
 from cotflow.llm.calibration import apply_isotonic, fit_isotonic
 from cotflow.llm.frames import draw, id_and_text, staged
 
@@ -276,6 +276,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, id_col="doc_id", text_
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores)], names=["doc_id", "score"]
                 )
+            give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
 
@@ -289,5 +290,6 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5, tex
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 yield part.filter(pa.array(score_texts(model, part.column(at).to_pylist()) < threshold))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)
