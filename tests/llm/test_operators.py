@@ -402,6 +402,43 @@ def test_near_duplicate_chains_and_odd_tables(spark, messy, empty):
     assert kept.where("doc_id BETWEEN 11 AND 79").count() == 1
 
 
+def test_near_duplicates_among_strangers(spark):
+    """Pairs over the threshold that share with each other what they share with 1,500 strangers of
+    0.75 to 0.79 with smaller ids."""
+    draws, words = random.Random(19), vocabulary(20)
+    rows = []
+    for group in range(3):
+        template, at = sentence(draws, words, 258), 10_000 * group
+        rows += [(at + i, f"{template} {sentence(draws, words, 42)}") for i in range(1500)]
+        rows += [(at + 5000 + i, f"{template} {sentence(draws, words, 30)}") for i in range(2)]
+    counts = {i: brute.shingles(t) for i, t in rows}
+    for x in (5000, 15_000, 25_000):
+        assert brute.probability_jaccard(counts[x], counts[x + 1]) >= 0.8
+        assert 0.7 < brute.probability_jaccard(counts[x - 5000], counts[x]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - (i % 10_000 == 5001) for i in counts}
+
+
+def test_groups_of_many_strangers_verify_every_pair(spark, monkeypatch):
+    """Rounds go on until nothing is left, also where no group is small."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    draws, words = random.Random(29), vocabulary(30)
+    rows = []
+    for group in range(6):
+        text = sentence(draws, words, 120).split()
+        for i in range(40):
+            edited = list(text)
+            for at in draws.sample(range(120), draws.randint(0, 5)):
+                edited[at] = draws.choice(words)
+            rows.append((1000 - 40 * group - i, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    classes = near_dup.joined_links(docs, none, near_dup.components(none), none)
+    got = {r["id"]: r["class_id"] for r in classes.collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == brute.classes(rows)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (6, 5), (9, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     got = {r["id"]: r["class_id"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
