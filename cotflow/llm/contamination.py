@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cotflow.llm.batches import Texts, arrow_schema, blocks, mix, window_hashes, window_starts
-from cotflow.llm.frames import id_and_text
+from cotflow.llm.frames import id_and_text, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -270,9 +270,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_c
     """The rows of docs that contain no item, all columns as they are."""
     known = small_items(items, item_id, item_text)
     if known is None:
-        found = contained_items(docs, items, id_col, text_col, item_id, item_text)
-        bad = found.select(F.col("doc_id").alias("__bad_id")).distinct()
-        return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")
+        # Whether a row goes depends on its text alone, so texts are searched and dropped by a key
+        # of their own: ids may be null or repeated.
+        key = F.sha2(docs[text_col].cast("binary"), 256)
+        texts = docs.where(docs[text_col].isNotNull()).select(key.alias("__key"), docs[text_col].alias("text")).distinct()
+        numbered = staged(texts.withColumn("doc_id", F.monotonically_increasing_id()), "contamination-texts")
+        found = contained_items(numbered, items, "doc_id", "text", item_id, item_text).select("doc_id").distinct()
+        bad = numbered.join(found, "doc_id", "left_semi").select("__key")
+        return docs.join(bad, key == F.col("__key"), "left_anti")
 
     def keep(batches):
         for part, texts in blocks(batches, text_col, lower=True):

@@ -375,6 +375,20 @@ def test_contained_items(spark, odd, odd_rows, messy, empty, monkeypatch, bytes_
     assert null_ids == {i for d, i in got if d % 3 == 0}
 
 
+@pytest.mark.parametrize("bytes_copied", [contamination.BROADCAST_BYTES, 0])
+def test_contaminated_rows_go_one_by_one(spark, messy, monkeypatch, bytes_copied):
+    """Clean rows stay whose id, or null id, a contaminated row has too."""
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", bytes_copied)
+    items = [(3, "ONE two"), (9, "x x x x x x x")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = messy.unionByName(messy.where("doc_id = 4").withColumn("text", F.lit("clean")))
+    texts = [(i, r["text"]) for i, r in enumerate(rows.select("text").collect())]
+    bad = {i for i, _ in brute.contained(texts, items)}
+    kept = contamination.drop_contaminated(rows, benchmark)
+    assert bad and kept.columns == rows.columns
+    assert sorted(r["text"] or "" for r in kept.select("text").collect()) == sorted(t or "" for i, t in texts if i not in bad)
+
+
 # 10 near duplicates
 
 
