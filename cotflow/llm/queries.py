@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotflow.llm import contamination, language, line_crf, near_dup, packing, quality, quotes, sharding, substrings, toxicity
+from cotflow.llm import (
+    contamination, fill_middle, language, line_crf, near_dup, packing, quality, quotes, sharding, substrings, toxicity,
+)
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
 
@@ -187,3 +189,41 @@ FROM known JOIN up USING (conv_id, turn)
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of the given conversations quote nothing, so they are written as replies first."""
     return quotes.link_quotes(quotes.quoting_messages(table(spark, sf_dir, "conversations")))
+
+
+# Lines by number, as an array per document.
+CUT = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS line,
+    sha256('7:' || doc_id) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(line) AS n, ('0x' || h[1:8])::BIGINT % (len(line) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(line) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lines
+), parts AS (
+  SELECT *, array_to_string(line[1 : least(a, b)], '') AS prefix,
+    array_to_string(line[least(a, b) + 1 : greatest(a, b)], '') AS middle,
+    array_to_string(line[greatest(a, b) + 1 : n], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query(CUT)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

@@ -100,3 +100,19 @@ def contained(docs, items):
             if grams and len(grams & there) >= 0.8 * len(grams):
                 out.add((doc_id, item_id))
     return out
+
+
+def cut_lines(doc_id, text, seed=7, percent=100, spm_percent=50):
+    """n, form, prefix_chars, middle_chars, output."""
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    hexed = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(hexed[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(lines)
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    if h[3] % 100 < spm_percent:
+        return n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
