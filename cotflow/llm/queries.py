@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotflow.llm import (
     contamination, fill_middle, language, line_crf, near_dup, packing, quality, quotes, sharding, substrings, toxicity,
+    url_filter,
 )
 from cotflow.llm.frames import fold
 from cotflow.sources.corpora import table
@@ -227,3 +228,35 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+JUDGED = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), listed AS (
+  SELECT host || path AS address FROM parts WHERE host <> '' GROUP BY ALL HAVING count(*) > 1
+), ruled AS (
+  SELECT *, host || path IN (SELECT address FROM listed) AND host <> '' AS on_list,
+    CASE
+      WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/'
+    END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN on_list THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query(JUDGED)
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, url_filter.listing_addresses(pages))
