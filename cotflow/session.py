@@ -72,9 +72,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete one staged table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete what this session staged; call it when no result that reads a stage is needed."""
-    jvm = spark.sparkContext._jvm
     for path in _STAGES.pop(spark.sparkContext.applicationId, []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        drop_stage(spark, path)
