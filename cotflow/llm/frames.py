@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cotflow.session import stage_path
+from cotflow.session import drop_stage, stage_path
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,7 +23,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def forget(*stages: DataFrame) -> None:
+    """Delete staged tables whose last reader has been stored."""
+    for stored in stages:
+        drop_stage(stored.sparkSession, stored.stage_path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def fold(doc_id: Column, parts: int) -> Column:
