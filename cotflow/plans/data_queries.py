@@ -243,13 +243,22 @@ def profile_multihop(spark, sf_dir):
 @query(
     "parse_tool_calls",
     o.sql(
-        o.TOOLS, "SELECT id, query, len(tools)::INT tools, len(calls)::INT calls FROM tool_lists"
+        o.TOOLS,
+        """SELECT id, query,
+      to_json(list_transform(tools, lambda t: [t.name, t.description, replace(t.parameters::VARCHAR, ' ', '')]))::VARCHAR tools,
+      to_json(list_transform(calls, lambda c: [c.name, replace(c.arguments::VARCHAR, ' ', '')]))::VARCHAR calls FROM tool_lists""",
     ),
 )
 def parse_tool_calls(spark, sf_dir):
     parsed = tools.parse_tool_calls(inputs.tool_rows(spark, sf_dir))
+
+    def listed(name, *fields):
+        rows = F.transform(name, lambda x: F.array(*[x[f] for f in fields]))
+        return F.to_json(rows, {"ignoreNullFields": "false"})
+
     return parsed.select(
-        "id", "query", F.size("tools").alias("tools"), F.size("answers").alias("calls")
+        "id", "query", listed("tools", "name", "description", "parameters").alias("tools"),
+        listed("answers", "name", "arguments").alias("calls"),
     )
 
 
@@ -294,8 +303,8 @@ def read_examples(spark, sf_dir):
     "read_pipeline_results",
     o.sql(
         o.RESULTS,
-        """SELECT example_id, question, answer, final_answer, cot, len(segments)::INT segments,
-      len(required_segments)::INT required_segments, len(nodes)::INT nodes, len(edges)::INT edges,
+        f"""SELECT example_id, question, answer, final_answer, cot, {o.as_json("segments")} segments,
+      {o.as_json("required_segments")} required_segments, {o.as_json("nodes")} nodes, {o.as_json("edges")} edges,
       success, pipeline_type FROM results""",
     ),
 )
@@ -305,11 +314,9 @@ def read_pipeline_results(spark, sf_dir):
     rows = inputs.results(spark, sf_dir).drop("example_ord", "style")
     writers.write_samples(rows, path, "json")
     back = readers.read_pipeline_results(spark, path)
-    counts = [
-        F.size(c).alias(c) for c in ("segments", "required_segments", "nodes", "edges")
-    ]
+    lists = [inputs.as_json(c) for c in ("segments", "required_segments", "nodes", "edges")]
     return back.select(
-        "example_id", "question", "answer", "final_answer", "cot", *counts, "success",
+        "example_id", "question", "answer", "final_answer", "cot", *lists, "success",
         "pipeline_type",
     )
 
@@ -470,8 +477,8 @@ p AS (SELECT example_id, stage, CASE WHEN stage = 'cot' THEN {o.tag("response",
     CASE WHEN stage = 'segments' THEN {o.tag("response", "segments")} END s,
     CASE WHEN stage = 'graph' THEN {o.tag("response", "nodes")} END n,
     CASE WHEN stage = 'graph' THEN {o.tag("response", "edges")} END e FROM responses)""",
-        f"""SELECT example_id, stage, cot, len({o.parsed("s", o.SEGMENT_JSON)})::INT segments,
-      len({o.parsed("n", o.NODE_JSON)})::INT nodes, len({o.parsed("e", o.EDGE_JSON)})::INT edges
+        f"""SELECT example_id, stage, cot, {o.as_json(o.parsed("s", o.SEGMENT_JSON))} segments,
+      {o.as_json(o.parsed("n", o.NODE_JSON))} nodes, {o.as_json(o.parsed("e", o.EDGE_JSON))} edges
     FROM p""",
     ),
 )
@@ -483,14 +490,8 @@ def ingest_responses_stream_query(spark, sf_dir):
         spark, f"{base}/landing", f"{base}/parsed", f"{base}/checkpoint"
     )
     stream.awaitTermination()
-
-    def count(name):
-        return F.when(F.col(name).isNotNull(), F.size(name)).alias(name)
-
     back = spark.read.parquet(f"{base}/parsed")
-    return back.select(
-        "example_id", "stage", "cot", count("segments"), count("nodes"), count("edges")
-    )
+    return back.select("example_id", "stage", "cot", *[inputs.as_json(c) for c in ("segments", "nodes", "edges")])
 
 
 REPORT_SQL = f"""
@@ -599,5 +600,14 @@ def score(spark, sf_dir):
 @query("parse_responses", o.sql(text_queries.ASSEMBLED, """SELECT count(*) FILTER (failed_stage IS NULL) successful, count(*) total,
       100 * count(*) FILTER (failed_stage IS NULL) / count(*) AS "percent" FROM staged"""))
 def parse_responses(spark, sf_dir):
+    return _parsed(spark, sf_dir)[1]
+
+
+@query("parse_responses_results", o.sql(text_queries.ASSEMBLED, text_queries.ASSEMBLED_SELECT))
+def parse_responses_results(spark, sf_dir):
+    return text_queries.assembled_rows(_parsed(spark, sf_dir)[0])
+
+
+def _parsed(spark, sf_dir):
     rows = inputs.examples(spark, sf_dir)
-    return jobs.parse_responses(rows, corpora.responses_from_results(corpora.results_from_examples(rows)))[1]
+    return jobs.parse_responses(rows, corpora.responses_from_results(corpora.results_from_examples(rows)))

@@ -720,13 +720,12 @@ def split_counts(spark, sf_dir):
     "graphs_from_answers",
     o.sql(
         o.RESULTS,
-        """SELECT example_id, len(segments)::INT segments, len(clean_nodes)::INT nodes,
-      len(e)::INT edges, len(clean_nodes) > 0 AND len(e) > 0 success FROM faulty""",
+        f"""SELECT example_id, {o.as_json("segments")} segments, {o.as_json("clean_nodes")} nodes,
+      {o.as_json("e")} edges, len(clean_nodes) > 0 AND len(e) > 0 success FROM faulty""",
     ),
 )
 def graphs_from_answers(spark, sf_dir):
     found = jobs.graphs_from_answers(inputs.examples(spark, sf_dir))
     return found.select(
-        "example_id", F.size("segments").alias("segments"), F.size("nodes").alias("nodes"),
-        F.size("edges").alias("edges"), "success",
+        "example_id", inputs.as_json("segments"), inputs.as_json("nodes"), inputs.as_json("edges"), "success",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cotflow.operators.orderings import reasoning_paths
 from cotflow.plans.jobs import spread_scan
@@ -47,6 +47,12 @@ def sft_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.sft_ids_from_documents(table(spark, sf_dir, "documents"))
 
 
+def as_json(name: str, value: Column | None = None) -> Column:
+    """A list column as JSON text, with its nulls."""
+    value = F.col(name) if value is None else value
+    return F.to_json(value, {"ignoreNullFields": "false"}).alias(name)
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasoning paths in their chain-of-thought form, stored once per session.
 

@@ -51,7 +51,13 @@ EDGE_JSON = """'[["VARCHAR"]]'"""
 
 
 def parsed(text: str, shape: str) -> str:
-    return f"CASE WHEN json_valid({text}) THEN from_json({text}::JSON, {shape}) END"
+    # DuckDB takes a comma after the last entry, the JSON standard does not.
+    is_list = f"CASE WHEN json_valid({text}) THEN json_type({text}::JSON) = 'ARRAY' AND NOT contains({text}, ',]') ELSE false END"
+    return f"CASE WHEN {is_list} THEN from_json({text}::JSON, {shape}) END"
+
+
+def as_json(value: str) -> str:
+    return f"to_json({value})::VARCHAR"
 
 
 EXAMPLES = f"""
@@ -153,9 +159,12 @@ responses AS (
   UNION ALL
   SELECT example_id, 'segments', CASE WHEN k % 19 = 2 THEN segs ELSE '<segments>' || {NL}
     || CASE k % 19 WHEN 1 THEN left(segs, -1) WHEN 3 THEN '[]' WHEN 4 THEN segs || ' and so on'
+       WHEN 5 THEN replace(replace(segs, '"is_required":1', '"is_required":true'), '"is_required":0', '"is_required":false')
+       WHEN 6 THEN replace(segs, '"', chr(39)) WHEN 7 THEN '{{"list":' || segs || '}}' WHEN 8 THEN left(segs, -1) || ',]'
        ELSE segs END || {NL} || '</segments>' END FROM rendered
   UNION ALL
-  SELECT example_id, 'graph', '<nodes>' || {NL} || ns || {NL} || '</nodes>' || {NL} || {NL}
+  SELECT example_id, 'graph', '<nodes>' || {NL} || CASE k % 37 WHEN 5 THEN replace(ns, '"', chr(39)) WHEN 6 THEN '{{"n":' || ns || '}}'
+      WHEN 7 THEN left(ns, -1) || ',]' ELSE ns END || {NL} || '</nodes>' || {NL} || {NL}
     || '<edges>' || {NL} || es || CASE WHEN k % 23 <> 6 THEN {NL} || '</edges>' ELSE '' END
   FROM rendered WHERE k % 29 <> 5)"""
 
@@ -317,17 +326,19 @@ raw_tools AS (
     '[{"name":"' || event_type || '","arguments":' || props || '},{"name":"log"}]' c FROM events),
 tool_rows AS (
   SELECT id, query,
-    CASE WHEN id % 11 = 0 THEN left(t, -1) WHEN id % 13 = 0 THEN '' ELSE t END tools,
-    CASE WHEN id % 17 = 0 THEN c || ' done' WHEN id % 19 = 0 THEN '' ELSE c END answers
+    CASE WHEN id % 11 = 0 THEN left(t, -1) WHEN id % 13 = 0 THEN '' WHEN id % 29 = 1 THEN replace(t, '"', chr(39))
+      WHEN id % 29 = 2 THEN '{"tools":' || t || '}' WHEN id % 29 = 3 THEN left(t, -1) || ',]' ELSE t END tools,
+    CASE WHEN id % 17 = 0 THEN c || ' done' WHEN id % 19 = 0 THEN '' WHEN id % 31 = 4 THEN left(c, -1) || ',]'
+      WHEN id % 31 = 5 THEN 'true' ELSE c END answers
   FROM raw_tools),
 checked AS (
-  SELECT *, CASE WHEN tools = '' THEN '[]' ELSE tools END t, CASE WHEN answers = '' THEN '[]'
-    ELSE answers END c FROM tool_rows),
+  SELECT *, CASE WHEN tools = '' THEN '[]' WHEN contains(tools, ',]') THEN '[' ELSE tools END t,
+    CASE WHEN answers = '' THEN '[]' WHEN contains(answers, ',]') THEN '[' ELSE answers END c FROM tool_rows),
 tool_lists AS (
   SELECT id, query,
-    CASE WHEN json_valid(t) AND json_valid(c) THEN from_json(t::JSON,
+    CASE WHEN CASE WHEN json_valid(t) AND json_valid(c) THEN json_type(t::JSON) = 'ARRAY' ELSE false END THEN from_json(t::JSON,
       '[{"name":"VARCHAR","description":"VARCHAR","parameters":"JSON"}]') ELSE [] END tools,
-    CASE WHEN json_valid(t) AND json_valid(c) THEN from_json(c::JSON,
+    CASE WHEN CASE WHEN json_valid(t) AND json_valid(c) THEN json_type(c::JSON) = 'ARRAY' ELSE false END THEN from_json(c::JSON,
       '[{"name":"VARCHAR","arguments":"JSON"}]') ELSE [] END calls FROM checked)"""
 
 SFT_IDS = """

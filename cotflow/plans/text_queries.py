@@ -195,9 +195,9 @@ def extract_edges(spark, sf_dir):
     "extract_graph",
     o.sql(
         o.RESPONSES + GRAPH_RESPONSES,
-        """SELECT example_id, n IS NOT NULL AND e IS NOT NULL whole,
-      CASE WHEN n IS NOT NULL AND e IS NOT NULL THEN len(n)::INT END nodes,
-      CASE WHEN n IS NOT NULL AND e IS NOT NULL THEN len(e)::INT END edges FROM q""",
+        f"""SELECT example_id, n IS NOT NULL AND e IS NOT NULL whole,
+      CASE WHEN n IS NOT NULL AND e IS NOT NULL THEN {o.as_json("n")} END nodes,
+      CASE WHEN n IS NOT NULL AND e IS NOT NULL THEN {o.as_json("e")} END edges FROM q""",
     ),
 )
 def extract_graph(spark, sf_dir):
@@ -206,8 +206,7 @@ def extract_graph(spark, sf_dir):
     return found.select(
         "example_id",
         F.col("g").isNotNull().alias("whole"),
-        F.when(F.col("g").isNotNull(), F.size("g.nodes")).alias("nodes"),
-        F.when(F.col("g").isNotNull(), F.size("g.edges")).alias("edges"),
+        inputs.as_json("nodes", F.col("g.nodes")), inputs.as_json("edges", F.col("g.edges")),
     )
 
 
@@ -621,33 +620,23 @@ staged AS (
 )
 
 
-@query(
-    "assemble_results",
-    o.sql(
-        ASSEMBLED,
-        """SELECT example_id, cot, CASE WHEN coalesce(failed_stage, 'graph') = 'graph'
-        THEN len(s)::INT END segments,
-      CASE WHEN coalesce(failed_stage, 'graph') = 'graph'
-        THEN len(list_filter(s, lambda x: x.is_required = 1))::INT END required_segments,
-      CASE WHEN failed_stage IS NULL THEN len(n)::INT END nodes,
-      CASE WHEN failed_stage IS NULL THEN len(e)::INT END edges,
-      failed_stage IS NULL success, CASE WHEN cot IS NULL THEN NULL WHEN direct
-        THEN 'direct_answer_segmentation' ELSE 'normal_with_cot_generation' END pipeline_type,
-      failed_stage FROM staged""",
-    ),
-)
+ASSEMBLED_SELECT = f"""SELECT example_id, cot, CASE WHEN coalesce(failed_stage, 'graph') = 'graph' THEN {o.as_json("s")} END segments,
+  CASE WHEN coalesce(failed_stage, 'graph') = 'graph' THEN {o.as_json("list_filter(s, lambda x: x.is_required = 1)")} END required_segments,
+  CASE WHEN failed_stage IS NULL THEN {o.as_json("n")} END nodes, CASE WHEN failed_stage IS NULL THEN {o.as_json("e")} END edges,
+  failed_stage IS NULL success, CASE WHEN cot IS NULL THEN NULL WHEN direct
+    THEN 'direct_answer_segmentation' ELSE 'normal_with_cot_generation' END pipeline_type, failed_stage FROM staged"""
+
+
+def assembled_rows(found):
+    lists = [inputs.as_json(c) for c in ("segments", "required_segments", "nodes", "edges")]
+    return found.select("example_id", "cot", *lists, "success", "pipeline_type", "failed_stage")
+
+
+@query("assemble_results", o.sql(ASSEMBLED, ASSEMBLED_SELECT))
 def assemble_results(spark, sf_dir):
     rows = inputs.examples(spark, sf_dir)
     answers_ = corpora.responses_from_results(corpora.results_from_examples(rows))
-    found = prompts.assemble_results(rows, answers_)
-
-    def count(name):
-        return F.when(F.col(name).isNotNull(), F.size(name)).alias(name)
-
-    return found.select(
-        "example_id", "cot", count("segments"), count("required_segments"), count("nodes"),
-        count("edges"), "success", "pipeline_type", "failed_stage",
-    )
+    return assembled_rows(prompts.assemble_results(rows, answers_))
 
 
 @query(

@@ -157,6 +157,14 @@ def results_from_examples(examples: DataFrame) -> DataFrame:
     )
 
 
+def single_quoted(listed: Column) -> Column:
+    return F.replace(listed, F.lit('"'), F.lit("'"))
+
+
+def trailing_comma(listed: Column) -> Column:
+    return F.concat(F.substring(listed, F.lit(1), F.length(listed) - 1), F.lit(",]"))
+
+
 def responses_from_results(results: DataFrame) -> DataFrame:
     """Model responses that carry the results as tagged text, some of them damaged."""
     key = F.col("example_ord")
@@ -172,15 +180,27 @@ def responses_from_results(results: DataFrame) -> DataFrame:
         block("cot", F.when(key % 17 == 2, "").otherwise(F.col("cot")), key % 17 != 1),
     )
     listed = F.to_json("segments")
+    flags = F.replace(F.replace(listed, F.lit('"is_required":1'), F.lit('"is_required":true')), F.lit('"is_required":0'), F.lit('"is_required":false'))
     segments = (
         F.when(key % 19 == 2, listed)
         .when(key % 19 == 1, block("segments", F.substring(listed, F.lit(1), F.length(listed) - 1)))
         .when(key % 19 == 3, block("segments", F.lit("[]")))
         .when(key % 19 == 4, block("segments", F.concat(listed, F.lit(" and so on"))))
+        .when(key % 19 == 5, block("segments", flags))
+        .when(key % 19 == 6, block("segments", single_quoted(listed)))
+        .when(key % 19 == 7, block("segments", F.concat(F.lit('{"list":'), listed, F.lit("}"))))
+        .when(key % 19 == 8, block("segments", trailing_comma(listed)))
         .otherwise(block("segments", listed))
     )
+    nodes = F.to_json("nodes")
+    written = (
+        F.when(key % 37 == 5, single_quoted(nodes))
+        .when(key % 37 == 6, F.concat(F.lit('{"n":'), nodes, F.lit("}")))
+        .when(key % 37 == 7, trailing_comma(nodes))
+        .otherwise(nodes)
+    )
     graph = F.concat(
-        block("nodes", F.to_json("nodes")), F.lit("\n\n"),
+        block("nodes", written), F.lit("\n\n"),
         block("edges", F.to_json("edges"), key % 23 != 6),
     )
     direct = F.col("pipeline_type") == "direct_answer_segmentation"
@@ -303,10 +323,15 @@ def tool_rows_from_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("What did user "), _text(F.col("user_id")), F.lit(" do?")).alias("query"),
         F.when(key % 11 == 0, F.substring(tools, F.lit(1), F.length(tools) - 1))
         .when(key % 13 == 0, F.lit(""))
+        .when(key % 29 == 1, single_quoted(tools))
+        .when(key % 29 == 2, F.concat(F.lit('{"tools":'), tools, F.lit("}")))
+        .when(key % 29 == 3, trailing_comma(tools))
         .otherwise(tools)
         .alias("tools"),
         F.when(key % 17 == 0, F.concat(calls, F.lit(" done")))
         .when(key % 19 == 0, F.lit(""))
+        .when(key % 31 == 4, trailing_comma(calls))
+        .when(key % 31 == 5, F.lit("true"))
         .otherwise(calls)
         .alias("answers"),
     )
