@@ -47,9 +47,8 @@ def build_graph(nodes: Column, edges: Column) -> Column:
 
     ``codes`` holds each distinct edge as src*n+dst. ``slots`` has one entry per node for
     graphs whose node set fits the bits of a long: the node's own bit, the bits of its
-    predecessors, both together, and the node's text mark. Larger graphs use ``wide``: the in-degree, and per
-    node what placing it subtracts from every node's open count (one for each successor,
-    and one for itself so that it drops below zero and is not picked again).
+    predecessors, both together, and the node's text mark. Larger graphs use ``wide``: per node
+    the lists of its predecessors and of its successors.
     """
 
     def with_ids(ids: Column) -> Column:
@@ -89,16 +88,9 @@ def build_graph(nodes: Column, edges: Column) -> Column:
                 ),
             )
 
-        def row(v: Column) -> Column:
-            return F.struct(
-                v.alias("node"),
-                mark(v).alias("mark"),
-                F.transform(
-                    steps,
-                    lambda w: F.when(
-                        (v == w) | F.array_contains(codes, v * n + w), 1
-                    ).otherwise(0),
-                ).alias("block"),
+        def targets_of(v: Column) -> Column:
+            return F.transform(
+                F.filter(codes, lambda c: F.floor(c / n) == v), lambda c: (c % n).cast("int")
             )
 
         def unused(ends: Column) -> Column:
@@ -107,8 +99,8 @@ def build_graph(nodes: Column, edges: Column) -> Column:
         wide = F.when(
             n > MAX_BITS,
             F.struct(
-                F.transform(steps, lambda w: F.size(sources_of(w))).alias("degree"),
-                F.transform(steps, row).alias("slots"),
+                F.transform(steps, sources_of).alias("before"),
+                F.transform(steps, targets_of).alias("after"),
             ),
         )
         return F.struct(

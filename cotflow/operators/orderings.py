@@ -1,7 +1,8 @@
 """Topological orderings of step graphs: capped enumeration, sampling, reasoning paths.
 
 Everything is a Column expression over one graph record, so a run over any number of
-examples is a single map-only stage. The memory of a row is bounded by cap x nodes ints.
+examples is a single map-only stage. The memory of a row is bounded by cap x nodes ints for
+the prefixes kept and as much for the children that the cap is cut from.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from cotflow.operators.graphs import (
     MAX_BITS,
     bit,
     complexity_estimate,
+    mark,
     with_graph,
 )
 
@@ -49,23 +51,57 @@ class _Bits:
         return placed.bitwiseOR(slot["bit"])
 
 
-class _Counts:
-    """Open predecessor counts per node, for graphs with more nodes than a long has bits."""
+class _Lists:
+    """Placed nodes as bits of several longs beside the queue of ready nodes, for graphs with more
+    nodes than a long has bits. A step looks at the queue and at what its node unlocks alone."""
 
     def __init__(self, graph: Column):
-        self.slots, self.start = graph["wide"]["slots"], graph["wide"]["degree"]
+        self.before, self.after = graph["wide"]["before"], graph["wide"]["after"]
+        n = F.size(graph["ids"])
+        words = F.array_repeat(F.lit(0).cast("bigint"), F.floor(n / MAX_BITS).cast("int") + 1)
+        first = F.filter(
+            F.transform(upto(n), lambda v: v - 1), lambda v: F.size(F.get(self.before, v)) == 0
+        )
+        self.start = F.struct(words.alias("words"), first.alias("ready"))
 
-    def ready(self, open_counts: Column) -> Column:
-        return F.filter(self.slots, lambda x: F.get(open_counts, x["node"]) == 0)
+    @staticmethod
+    def _in(words: Column, v: Column) -> Column:
+        word = F.get(words, F.call_function("div", v, F.lit(MAX_BITS)).cast("int"))
+        return word.bitwiseAND(bit(v % MAX_BITS)) != 0
 
-    def choose(self, open_counts: Column, rng: Column) -> Column:
-        return let(self.ready(open_counts), lambda r: _pick(r, rng))
+    def ready(self, state: Column) -> Column:
+        return F.transform(
+            state["ready"], lambda v: F.struct(v.alias("node"), mark(v).alias("mark"))
+        )
 
-    def place(self, open_counts: Column, slot: Column) -> Column:
-        return F.zip_with(open_counts, slot["block"], lambda d, b: d - b)
+    def choose(self, state: Column, rng: Column) -> Column:
+        node = _pick(state["ready"], rng)
+        return F.when(node.isNotNull(), F.struct(node.alias("node"), mark(node).alias("mark")))
+
+    def place(self, state: Column, slot: Column) -> Column:
+        node = slot["node"]
+        at = F.call_function("div", node, F.lit(MAX_BITS))
+        words = F.transform(
+            state["words"],
+            lambda w, i: F.when(i == at, w.bitwiseOR(bit(node % MAX_BITS))).otherwise(w),
+        )
+
+        def with_words(placed: Column) -> Column:
+            unlocked = F.filter(
+                F.get(self.after, node),
+                lambda w: (w != node)
+                & F.forall(F.get(self.before, w), lambda p: self._in(placed, p)),
+            )
+            waiting = F.filter(state["ready"], lambda v: v != node)
+            return F.struct(
+                placed.alias("words"),
+                F.sort_array(F.concat(waiting, unlocked)).alias("ready"),
+            )
 
+        return let(words, with_words)
 
-_State = _Bits | _Counts
+
+_State = _Bits | _Lists
 
 
 def _pick(ready: Column, rng: Column) -> Column:
@@ -76,7 +112,7 @@ def _by_size(
     graph: Column, build: Callable[[_State], Column], table: Column | None = None
 ) -> Column:
     return F.when(F.size(graph["ids"]) <= MAX_BITS, build(_Bits(graph, table))).otherwise(
-        build(_Counts(graph))
+        build(_Lists(graph))
     )
 
 
@@ -107,22 +143,26 @@ def enumerate_orderings(graph: Column, cap: Column | int = 10000) -> Column:
 
 def _enumerate(graph: Column, cap: Column, state: _State) -> Column:
     def grow(prefixes: Column, _: Column) -> Column:
+        """A child is its parent's place and a slot until the cap has cut; only then it gets a state."""
         picks = F.flatten(
             F.transform(
                 prefixes,
-                lambda s: F.transform(
-                    state.ready(s["state"]),
-                    lambda x: F.struct(s.alias("parent"), x.alias("slot")),
+                lambda s, i: F.transform(
+                    state.ready(s["state"]), lambda x: F.struct(i.alias("parent"), x.alias("slot"))
                 ),
             )
         )
-        return F.transform(
-            F.slice(picks, F.lit(1), cap),
-            lambda p: F.struct(
-                F.concat(p["parent"]["path"], F.array(p["slot"]["node"])).alias("path"),
-                state.place(p["parent"]["state"], p["slot"]).alias("state"),
-            ),
-        )
+
+        def child(p: Column) -> Column:
+            return let(
+                F.get(prefixes, p["parent"]),
+                lambda s: F.struct(
+                    F.concat(s["path"], F.array(p["slot"]["node"])).alias("path"),
+                    state.place(s["state"], p["slot"]).alias("state"),
+                ),
+            )
+
+        return F.transform(F.slice(picks, F.lit(1), cap), child)
 
     start = F.array(F.struct(empty("array<int>").alias("path"), state.start.alias("state")))
     return F.aggregate(
@@ -145,10 +185,20 @@ def count_orderings(graph: Column, cap: int) -> Column:
             children = F.flatten(
                 F.transform(
                     states,
-                    lambda s: F.transform(state.ready(s), lambda x: state.place(s, x)),
+                    lambda s: F.transform(
+                        F.slice(state.ready(s), 1, cap), lambda x: state.place(s, x)
+                    ),
                 )
             )
-            return F.when(F.size(states) >= cap, states).otherwise(children)
+            grown = F.slice(children, 1, cap)
+            if isinstance(state, _Lists):
+                # Many wide states are not built only to be counted.
+                total = F.aggregate(
+                    states, F.lit(0), lambda t, s: t + F.size(s["ready"]).cast("int")
+                )
+                enough = F.array_repeat(F.get(states, F.lit(0)), cap)
+                grown = F.when(total >= cap, enough).otherwise(grown)
+            return F.when(F.size(states) >= cap, states).otherwise(grown)
 
         return F.aggregate(upto(F.size(graph["ids"])), F.array(state.start), grow, F.size)
 

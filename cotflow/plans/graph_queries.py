@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cotflow.functions.lambdas import computed_once
 from cotflow.functions.text import alt_answer
-from cotflow.operators import analysis, cots, datasets, graphs, orderings, segments
+from cotflow.operators import analysis, cots, datasets, exact_orderings, graphs, orderings, segments
 from cotflow.plans import inputs, jobs, oracle_ctes as o
 from cotflow.plans.registry import query
 
@@ -234,6 +234,83 @@ def sample_orderings(spark, sf_dir):
     return _ordinal_rows(rows, found)
 
 
+def _acyclic_line_graphs(spark, sf_dir):
+    rows = graphs.with_graph(inputs.line_graphs(spark, sf_dir)).where(F.col("graph").isNotNull())
+    checked = computed_once(
+        rows, ["example_id", "graph"], orderings.is_acyclic(F.col("graph")).alias("acyclic")
+    )
+    return checked.where("acyclic")
+
+
+def _digests(rows, found):
+    """Per example how many orderings there are and a digest of all of them in order."""
+    listed = computed_once(rows, ["example_id"], found.alias("o"))
+    text = F.transform("o", lambda p: F.array_join(p.cast("array<string>"), ","))
+    return listed.select(
+        "example_id", F.size("o").cast("bigint").alias("paths"), F.md5(F.array_join(text, "|")).alias("digest")
+    )
+
+
+LINE_DIGESTS = """SELECT 'documents_train_' || k example_id, count(*) paths,
+      md5(string_agg(array_to_string(path, ','), '|' ORDER BY path_no)) digest FROM line_paths GROUP BY k"""
+
+
+@query("enumerate_orderings_wide", o.sql(o.LINE_GRAPHS + o.LINE_ORDERINGS.format(cap=1000), LINE_DIGESTS))
+def enumerate_orderings_wide(spark, sf_dir):
+    """The first thousand orderings of the lines of every document, also beyond 62 lines."""
+    rows = _acyclic_line_graphs(spark, sf_dir)
+    return _digests(rows, orderings.enumerate_orderings(F.col("graph"), 1000))
+
+
+@query("sample_orderings_wide", o.sql(o.LINE_GRAPHS + o.LINE_SAMPLES.format(n=20, attempts=100, seed=11), LINE_DIGESTS))
+def sample_orderings_wide(spark, sf_dir):
+    rows = _acyclic_line_graphs(spark, sf_dir)
+    return _digests(rows, orderings.sample_orderings(F.col("graph"), F.col("example_id"), 20, 11))
+
+
+@query(
+    "step_position_bounds",
+    o.sql(
+        o.GRAPHS,
+        """SELECT i.example_id, a.id step, (SELECT count(*) FROM reach r WHERE r.example_ord = a.example_ord AND r.dst = a.v)::INT earliest,
+      (l.nodes - 1 - (SELECT count(*) FROM reach r WHERE r.example_ord = a.example_ord AND r.src = a.v))::INT latest
+    FROM node_ids a JOIN labelled l USING (example_ord) JOIN inputs i USING (example_ord) WHERE l.acyclic""",
+    ),
+)
+def step_position_bounds(spark, sf_dir):
+    """Exact places of every step, where reports over sampled orderings know a part of them."""
+    return exact_orderings.position_bounds(_graphs(spark, sf_dir))
+
+
+@query(
+    "step_position_bounds_wide",
+    o.sql(
+        o.LINE_GRAPHS,
+        """SELECT 'documents_train_' || s.k example_id, 's' || (v + 1) step,
+      (SELECT count(*) FROM line_reach r WHERE r.k = s.k AND r.b = s.v)::INT earliest,
+      (n - 1 - (SELECT count(*) FROM line_reach r WHERE r.k = s.k AND r.a = s.v))::INT latest FROM line_slots s""",
+    ),
+)
+def step_position_bounds_wide(spark, sf_dir):
+    rows = graphs.with_graph(inputs.line_graphs(spark, sf_dir))
+    return exact_orderings.position_bounds(rows)
+
+
+@query(
+    "count_orderings_exact",
+    o.sql(
+        o.PATHS + o.orderings(),
+        """SELECT example_id, p.total_paths::INT total_paths, count(x.path)::VARCHAR total_orderings
+    FROM paths p LEFT JOIN orderings x USING (example_ord) WHERE error IS NULL OR error = 'Graph contains cycles' GROUP BY ALL""",
+    ),
+)
+def count_orderings_exact(spark, sf_dir):
+    """What the capped or sampled run found beside the number of orderings there are."""
+    exact = exact_orderings.count_orderings(_graphs(spark, sf_dir))
+    found = inputs.paths(spark, sf_dir).select("example_id", "total_paths")
+    return exact.join(found, "example_id").select("example_id", "total_paths", "total_orderings")
+
+
 def _path_records(paths):
     return paths.select(
         "example_id", "error", F.col("complexity_estimate.complexity").alias("complexity"),

@@ -31,6 +31,11 @@ def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.segments_from_documents(spread_scan(documents))
 
 
+def line_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpora.line_graphs_from_documents(spread_scan(documents))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.examples_from_conversations(table(spark, sf_dir, "conversations"))
 

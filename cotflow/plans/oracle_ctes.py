@@ -211,6 +211,50 @@ slots AS (
   GROUP BY ALL)"""
 
 
+# Graphs of all lines of a document; placed lines are bit strings as long as the document.
+LINE_GRAPHS = f"""
+doc_lines AS (
+  SELECT doc_id k, len(list_filter(string_split(text, {NL}), lambda x: x <> '')) n FROM documents WHERE text IS NOT NULL),
+line_edges AS (
+  SELECT DISTINCT k, a, b FROM (
+    SELECT k, i // 2 - 1 a, i - 1 b FROM doc_lines, unnest(range(2, n + 1)) t(i) WHERE k % 3 <> 0
+    UNION ALL SELECT k, i - 2, i - 1 FROM doc_lines, unnest(range(2, n + 1)) t(i) WHERE (k + i) % 3 = 0
+    UNION ALL SELECT k, n - 1, 0 FROM doc_lines WHERE k % 23 = 1 AND n > 1)),
+line_reach AS (
+  SELECT k, a, b FROM line_edges
+  UNION SELECT r.k, r.a, e.b FROM line_reach r JOIN line_edges e ON e.k = r.k AND e.a = r.b),
+line_docs AS (
+  SELECT k, n FROM doc_lines WHERE k IN (SELECT k FROM line_edges) AND k NOT IN (SELECT k FROM line_reach WHERE a = b)),
+line_slots AS (
+  SELECT d.k, d.n, v, coalesce(bit_or(set_bit(bitstring('0', d.n::INT), e.a::INT, 1)), bitstring('0', d.n::INT)) before
+  FROM line_docs d, unnest(range(0, d.n)) t(v) LEFT JOIN line_edges e ON e.k = d.k AND e.b = v GROUP BY d.k, d.n, v)"""
+
+LINE_ORDERINGS = """,
+line_walk AS (
+  SELECT k, n, 0 lvl, bitstring('0', n::INT) placed, []::BIGINT[] path FROM line_docs
+  UNION ALL
+  SELECT w.k, w.n, lvl + 1, set_bit(placed, v::INT, 1), list_append(path, v)
+  FROM line_walk w JOIN line_slots s ON s.k = w.k
+  WHERE get_bit(placed, v::INT) = 0 AND (placed & before) = before
+  QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY list_append(path, v)) <= {cap}),
+line_paths AS (
+  SELECT k, path, row_number() OVER (PARTITION BY k ORDER BY path) path_no FROM line_walk WHERE lvl = n)"""
+
+LINE_SAMPLES = """,
+line_ready AS (SELECT k, n, list({{'v': v, 'p': before}} ORDER BY v) ready FROM line_slots GROUP BY ALL),
+line_walk AS (
+  SELECT k, attempt, n, 0 lvl, bitstring('0', n::INT) placed, []::BIGINT[] path, ready,
+    ('0x' || substr(md5('{seed}|documents_train_' || k || '|' || attempt), 1, 8))::BIGINT % 2147483646 + 1 rng
+  FROM line_ready, range(1, {attempts} + 1) t(attempt)
+  UNION ALL
+  SELECT k, attempt, n, lvl + 1, set_bit(placed, pick.v::INT, 1), list_append(path, pick.v), ready, rng * 48271 % 2147483647
+  FROM (SELECT *, list_filter(ready, lambda s: get_bit(placed, s.v::INT) = 0 AND (placed & s.p) = s.p) open
+        FROM line_walk WHERE lvl < n) w, LATERAL (SELECT open[(rng % len(open))::INT + 1] pick)),
+line_first AS (SELECT k, path, min(attempt) attempt FROM line_walk WHERE lvl = n GROUP BY k, path),
+line_ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY attempt) path_no FROM line_first),
+line_paths AS (SELECT k, path, path_no FROM line_ranked WHERE path_no <= {n})"""
+
+
 def orderings(where: str = "acyclic", name: str = "orderings") -> str:
     """All orderings of the graphs that satisfy ``where``, as lists of node ordinals."""
     return f""",

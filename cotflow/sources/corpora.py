@@ -165,6 +165,33 @@ def trailing_comma(listed: Column) -> Column:
     return F.concat(F.substring(listed, F.lit(1), F.length(listed) - 1), F.lit(",]"))
 
 
+def line_graphs_from_documents(documents: DataFrame) -> DataFrame:
+    """Results whose steps are all lines of a document, however many.
+
+    In two of three documents line i waits for line i / 2; every third line waits for the one before
+    it; in some the first waits for the last, which closes a cycle.
+    """
+    key = F.col("doc_id")
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    count = F.size("lines")
+
+    def name(i: Column) -> Column:
+        return F.concat(F.lit("s"), _text(i))
+
+    later = F.filter(upto(count), lambda i: i > 1)
+    half = F.transform(later, lambda i: F.array(name(F.call_function("div", i, F.lit(2))), name(i)))
+    before = F.transform(F.filter(later, lambda i: (key + i) % 3 == 0), lambda i: F.array(name(i - 1), name(i)))
+    back = F.when((key % 23 == 1) & (count > 1), F.array(F.array(name(count), F.lit("s1")))).otherwise(empty(schemas.EDGES))
+    drafted = documents.select("doc_id", lines.alias("lines"))
+    return drafted.select(
+        key.alias("example_ord"),
+        F.concat(F.lit("documents_train_"), _text(key)).alias("example_id"),
+        F.transform("lines", lambda x, i: F.struct(name(i + 1).alias("id"), x.alias("text"))).alias("nodes"),
+        F.concat(F.when(key % 3 != 0, half).otherwise(empty(schemas.EDGES)), before, back).alias("edges"),
+        F.lit(True).alias("success"),
+    )
+
+
 def responses_from_results(results: DataFrame) -> DataFrame:
     """Model responses that carry the results as tagged text, some of them damaged."""
     key = F.col("example_ord")
