@@ -43,23 +43,28 @@ def _large_whole(number: Column) -> Column:
 
 
 def _six_decimals(number: Column) -> Column:
-    """Six decimals. Formatting rounds the shortest decimal form, which errs when that form ends
-    in a five at the seventh place; there the exact product with 10**7 decides."""
+    """Six decimals of the double's exact value, ties to even.
+
+    A double minus its whole part is exact. Of the fraction, the product with 10**7 and what its
+    rounding lacks, both in doubles, tell on which side of a tie at the seventh place it lies.
+    """
 
     def rounded(x: Column) -> Column:
-        product, wide = x * 1e7, x * 134217729.0
-        high = wide - (wide - x)
-        # What the rounded product lacks: both partial products are exact.
-        rest = (high * 1e7 - product) + (x - high) * 1e7
+        whole = F.floor(x)
+        part = x - whole
+        product, wide = part * 1e7, part * 134217729.0
+        high = wide - (wide - part)
+        rest = (high * 1e7 - product) + (part - high) * 1e7
         n = F.rint(product).try_cast("bigint")
         off = (product - n) + rest
-        tenth = F.floor(n / 10).cast("bigint")
-        up = (off > 0) | ((off == 0) & (tenth % 2 == 1))
-        units = tenth + up.cast("bigint")
-        text = F.concat(
-            F.floor(units / 1000000).cast("string"), F.lit("."), F.lpad((units % 1000000).cast("string"), 6, "0")
-        )
-        return F.when((x < 9e8) & (n % 10 == 5) & (F.abs(off) < 0.4), text).otherwise(F.format_string("%.6f", x))
+        units, digit = F.floor(n / 10).cast("bigint"), n % 10
+        up = (digit > 5) | ((digit == 5) & ((off > 0) | ((off == 0) & (units % 2 == 1))))
+
+        def text(sixth: Column) -> Column:
+            carried = whole.try_cast("bigint") + F.when(sixth == 1000000, 1).otherwise(0)
+            return F.concat(carried.cast("string"), F.lit("."), F.lpad((sixth % 1000000).cast("string"), 6, "0"))
+
+        return let(units + up.cast("bigint"), text)
 
     return F.concat(F.when(number < 0, "-").otherwise(""), let(F.abs(number), rounded))
 

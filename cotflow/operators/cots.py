@@ -24,15 +24,15 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
 
     A missing order comes before any other; of records with one order the larger digest counts,
     so a rerun chooses alike. Only (key, order, digest) is aggregated, copies of a hot key
-    combining before the shuffle; the records move once, to meet their key's winner.
+    combining before the shuffle; the records move once, to meet their key's winner. Copies of a
+    winner are grouped by all columns, which combines them before the shuffle as well. Columns of
+    types that cannot be grouped, such as maps, are not supported.
     """
     rest = [c for c in df.columns if c != key]
-    marked = df.withColumn("__place", F.struct(F.col(order), F.xxhash64(*rest)))
+    marked = df.withColumn("__place", F.struct(F.col(order), F.xxhash64(*rest), F.md5(F.to_json(F.struct(*rest)))))
     best = marked.groupBy(F.col(key).alias("__key")).agg(F.max("__place").alias("__best"))
     won = marked.join(best, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place").eqNullSafe(F.col("__best"))))
-    # What is left of one key is one record, or copies of it.
-    once = Window.partitionBy(key).orderBy(F.lit(1))
-    return won.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*df.columns)
+    return won.select(*df.columns).distinct()
 
 
 def attach_original(paths: DataFrame, originals: DataFrame, order: str) -> DataFrame:
@@ -75,19 +75,47 @@ def number_cots(rows: DataFrame) -> DataFrame:
 
 
 def preview(paths: DataFrame, k: int = 3) -> DataFrame:
-    """The first k orderings per example and how many more there are."""
+    """The first k orderings per example with their step texts, and how many more there are.
+
+    Examples with an error or without orderings have one row that says so.
+    """
+    told = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("total_paths", F.lit(0)) == 0, NO_PATHS)
     shown = paths.select(
-        "example_id",
-        "node_ids",
-        F.posexplode(F.slice("orderings", 1, k)).alias("at", "ordering"),
+        "example_id", "node_ids", "node_texts", "total_paths",
+        F.coalesce("method", F.lit("unknown")).alias("method"),
+        F.coalesce(F.col("complexity_estimate")["complexity"], F.lit("unknown")).alias("complexity"),
+        told.alias("error"),
+        F.posexplode_outer(F.slice("orderings", 1, k)).alias("at", "ordering"),
         F.greatest(F.size("orderings") - k, F.lit(0)).alias("more"),
     )
+    good = F.col("error").isNull()
+
+    def joined(names: str, mark: str) -> Column:
+        return F.when(good, F.array_join(spelled(F.col("ordering"), F.col(names)), mark))
+
     return shown.select(
-        "example_id",
-        (F.col("at") + 1).alias("path_no"),
-        F.array_join(spelled(F.col("ordering"), F.col("node_ids")), " → ").alias("sequence"),
-        "more",
+        "example_id", "error",
+        *[F.when(good, F.col(c)).alias(c) for c in ("total_paths", "method", "complexity")],
+        F.when(good, F.col("at") + 1).alias("path_no"),
+        joined("node_ids", " → ").alias("sequence"),
+        joined("node_texts", "\n").alias("texts"),
+        F.when(good, F.col("more")).alias("more"),
+    )
+
+
+def preview_text(rows: DataFrame) -> DataFrame:
+    """The rows of ``preview`` as readable blocks; a block's first row carries the header of its example."""
+    rule = "=" * RULE_WIDTH
+    header = F.concat(
+        F.lit(f"{rule}\nEXAMPLE: "), "example_id", F.lit("\nTotal Paths: "), "total_paths", F.lit(" (method: "), "method",
+        F.lit(", complexity: "), "complexity", F.lit(f")\n{rule}\n"),
+    )
+    steps = F.regexp_replace(F.concat(F.lit("  "), "texts"), "\n", "\n  ")
+    block = F.concat(
+        F.when(F.col("path_no") == 1, header).otherwise(""), F.lit("PREVIEW - Alternative COT "), "path_no", F.lit(":\n" + "-" * 50 + "\nSequence: "),
+        "sequence", F.lit("\n\n"), steps,
     )
+    return rows.select("example_id", "path_no", F.coalesce(F.concat("example_id", F.lit(": "), "error"), block).alias("text"))
 
 
 def cot_records(

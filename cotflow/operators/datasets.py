@@ -42,9 +42,16 @@ def to_sft_alternative(cots: DataFrame) -> DataFrame:
     )
 
 
-def filter_examples(df: DataFrame, needle: str) -> DataFrame:
-    """Examples whose id contains the text, upper and lower case alike."""
-    return df.where(F.contains(F.lower("example_id"), F.lit(needle.lower())))
+def filter_examples(df: DataFrame, needle: str, required: bool = False) -> DataFrame:
+    """Examples whose id contains the text, upper and lower case alike.
+
+    A run that writes asks with ``required``: where nothing matches it stops with an error before
+    anything is written. Looking for the first match reads ids alone and ends when it is found.
+    """
+    found = df.where(F.contains(F.lower("example_id"), F.lit(needle.lower())))
+    if required and found.select("example_id").isEmpty():
+        raise LookupError(f"no example id contains {needle!r}")
+    return found
 
 
 def union_styles(datasets: dict[str, DataFrame]) -> DataFrame:

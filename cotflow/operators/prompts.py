@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -83,18 +84,70 @@ def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(one, ["example_id", "stage"], "left")
 
 
-def generate_with(requests: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Responses from a caller-supplied batch function over (system, user) frames."""
+def generate_with(
+    requests: DataFrame,
+    complete: Callable[[pd.DataFrame], pd.Series],
+    stored: DataFrame | None = None,
+    in_flight: int | None = None,
+    attempts: int = 3,
+    backoff: float = 1.0,
+    pause: float = 0.0,
+) -> DataFrame:
+    """Responses from a caller-supplied batch function over (system, user) frames.
+
+    Requests that ``stored`` has an answer to are left out. A task hands over at most ``in_flight``
+    requests at a time and waits ``pause`` seconds after each call, so tasks times in_flight bound
+    what the model sees at once. A failing call is repeated after ``backoff``, twice and four times
+    as many seconds and so on; the last of ``attempts`` failures ends the task, and Spark's own
+    retries of it follow. Blank space around a response is removed.
+    """
+    if stored is not None:
+        requests = requests.join(stored.select("example_id", "stage").distinct(), ["example_id", "stage"], "left_anti")
+
+    def answer(part: pd.DataFrame) -> pd.Series:
+        for attempt in range(attempts):
+            try:
+                found = complete(part)
+                time.sleep(pause)
+                return found
+            except Exception:
+                if attempt == attempts - 1:
+                    raise
+                time.sleep(backoff * 2**attempt)
+        raise ValueError("attempts must be 1 or more")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["example_id", "stage"]].assign(response=complete(batch))
+            for start in range(0, len(batch), in_flight or len(batch)):
+                part = batch.iloc[start : start + (in_flight or len(batch))]
+                yield part[["example_id", "stage"]].assign(response=answer(part)).assign(
+                    response=lambda f: f["response"].str.strip()
+                )
 
     return requests.select("example_id", "stage", "system", "user").mapInPandas(
         run, "example_id string, stage string, response string"
     )
 
 
+def generate_stored(
+    requests: DataFrame, complete: Callable[[pd.DataFrame], pd.Series], path: str, rounds: int = 10, **options
+) -> DataFrame:
+    """All responses, saved as they come: each round answers a share of the requests and appends it.
+
+    What ``path`` already holds is not asked again, so a run that was broken off goes on where the
+    last whole round ended. Spark commits an append as a whole. One run at a time may write to it.
+    """
+    spark = requests.sparkSession
+    schema = "example_id string, stage string, response string"
+    place = F.pmod(F.xxhash64("example_id", "stage"), F.lit(rounds))
+    # Writing nothing makes the folder, so that the first round has something to read.
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    for turn in range(rounds):
+        stored = spark.read.schema(schema).parquet(path)
+        generate_with(requests.where(place == turn), complete, stored, **options).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def responses_by_example(responses: DataFrame) -> DataFrame:
     """The stages' responses side by side, one row per example.
 

@@ -581,15 +581,31 @@ def number_cots(spark, sf_dir):
     "preview",
     o.sql(
         o.PATHS,
-        """SELECT example_id, path_no::INT path_no, sequence,
-      greatest(total_paths - 3, 0)::INT AS more FROM spelled JOIN paths USING (example_ord)
-    WHERE path_no <= 3""",
+        """SELECT example_id, error, total_paths::INT total_paths, method, complexity, path_no::INT path_no, sequence, texts,
+      CASE WHEN error IS NULL THEN greatest(total_paths - 3, 0)::INT END AS more
+    FROM paths LEFT JOIN spelled USING (example_ord) WHERE path_no <= 3 OR path_no IS NULL""",
     ),
 )
 def preview(spark, sf_dir):
     return cots.preview(inputs.paths(spark, sf_dir), 3)
 
 
+@query(
+    "preview_text",
+    o.sql(
+        o.PATHS,
+        """SELECT example_id, path_no::INT path_no, CASE WHEN error IS NOT NULL THEN example_id || ': ' || error
+      ELSE CASE WHEN path_no = 1 THEN repeat('=', 80) || chr(10) || 'EXAMPLE: ' || example_id || chr(10) || 'Total Paths: '
+          || total_paths || ' (method: ' || method || ', complexity: ' || complexity || ')' || chr(10) || repeat('=', 80) || chr(10)
+        ELSE '' END || 'PREVIEW - Alternative COT ' || path_no || ':' || chr(10) || repeat('-', 50) || chr(10) || 'Sequence: '
+        || sequence || chr(10) || chr(10) || '  ' || replace(texts, chr(10), chr(10) || '  ') END AS text
+    FROM paths LEFT JOIN spelled USING (example_ord) WHERE path_no <= 3 OR path_no IS NULL""",
+    ),
+)
+def preview_text(spark, sf_dir):
+    return cots.preview_text(cots.preview(inputs.paths(spark, sf_dir), 3))
+
+
 @query(
     "keep_last",
     """SELECT l_orderkey, max_by(l_shipdate, ord) l_shipdate, max_by(l_partkey, ord) l_partkey

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from cotflow.functions import answers, tags, text
 from cotflow.operators import datasets, prompts, scoring, segments
 from cotflow.plans import inputs, oracle_ctes as o
-from cotflow.plans.registry import query
-from cotflow.sources import corpora
+from cotflow.plans.registry import SQL, query
+from cotflow.session import stage_path, write_file
+from cotflow.sources import corpora, readers
 
 S_RE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -41,7 +42,9 @@ def final_answer_loose(spark, sf_dir):
       SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN format('{{:,}}', o_custkey * 1000)
         WHEN 1 THEN '-' || o_custkey || '.500' WHEN 2 THEN o_custkey || 'e3'
         WHEN 3 THEN o_custkey || ' 000.0' WHEN 4 THEN '[invalid]' WHEN 5 THEN o_orderpriority
-        WHEN 6 THEN '000' || o_custkey ELSE '-' || (o_custkey % 3) || '.1250' END raw FROM orders)
+        WHEN 6 THEN '000' || o_custkey ELSE '-' || (o_custkey % 3) || '.1250' END raw FROM orders
+      UNION ALL SELECT -o_orderkey, o_custkey * 2976164 || '.4646845' FROM orders
+      UNION ALL SELECT -o_orderkey, '-' || o_custkey * 7 || '.999999' || (o_orderkey % 10) || '5' FROM orders)
     SELECT o_orderkey, raw, {o.normalized("raw")} number FROM v""",
 )
 def normalize_number(spark, sf_dir):
@@ -57,7 +60,12 @@ def normalize_number(spark, sf_dir):
         .when(key == 6, F.concat(F.lit("000"), customer))
         .otherwise(F.concat(F.lit("-"), customer % 3, F.lit(".1250")))
     )
+    # Fives at the seventh place, below and above 9e8, and fractions that carry.
+    large = F.concat(customer * 2976164, F.lit(".4646845"))
+    carried = F.concat(F.lit("-"), customer * 7, F.lit(".999999"), F.col("o_orderkey") % 10, F.lit("5"))
     rows = orders.select("o_orderkey", raw.alias("raw"))
+    for more in (large, carried):
+        rows = rows.unionByName(orders.select((-F.col("o_orderkey")).alias("o_orderkey"), more.alias("raw")))
     return rows.select(
         "o_orderkey", "raw", answers.normalize_number(F.col("raw")).alias("number")
     )
@@ -656,3 +664,43 @@ def generate_with(spark, sf_dir):
 
     replies = prompts.generate_with(requests, echo)
     return replies.select("example_id", "stage", tags.extract_cot(F.col("response")).alias("cot"))
+
+
+@query(
+    "generate_stored",
+    o.sql(
+        o.RESULTS,
+        """SELECT example_id, 'cot' stage, CASE WHEN example_ord % 3 = 0 THEN 'first ' ELSE 'second ' END
+      || 'Q: ' || question || chr(10) || 'A: ' || answer || chr(10) || 'F: ' || coalesce(final_answer, 'None') response FROM results""",
+    ),
+)
+def generate_stored(spark, sf_dir):
+    """A third of the requests is answered in a first run. The second run asks for the others alone,
+    by a function that fails every first time."""
+    rows = inputs.results(spark, sf_dir).drop("segments", "nodes", "edges")
+    requests = prompts.render_requests(rows, TEMPLATES, "cot")
+    path = stage_path(spark, "responses")
+    third = F.substring_index("example_id", "_", -1).cast("bigint") % 3 == 0
+    prompts.generate_stored(requests.where(third), lambda batch: "first " + batch["user"], path, 1)
+    asked = set()
+
+    def second(batch):
+        key = batch["example_id"].iloc[0]
+        if key not in asked:
+            asked.add(key)
+            raise ConnectionError("try again")
+        return "second " + batch["user"]
+
+    return prompts.generate_stored(requests, second, path, 2, backoff=0.0, in_flight=1000)
+
+
+@query("read_prompt_templates", SQL["render_prompt"])
+def read_prompt_templates(spark, sf_dir):
+    """Requests by templates that are read from files inside the job."""
+    folder = stage_path(spark, "templates")
+    for name, template in TEMPLATES.items():
+        write_file(spark, f"{folder}/{name}.txt", template.encode())
+    found = readers.read_prompt_templates(spark, folder, list(TEMPLATES))
+    rows = inputs.results(spark, sf_dir)
+    requests = prompts.render_requests(rows, readers.template_dict(found, list(TEMPLATES)), "graph")
+    return requests.withColumnRenamed("user", "user_text")

@@ -72,6 +72,21 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
+    """A small file of a given name, in whatever store the path names; whole or not at all."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(draft)
+    out.write(bytearray(data))
+    out.close()
+    if overwrite:
+        store.delete(place, False)
+    if (not overwrite and store.exists(place)) or not store.rename(draft, place):
+        store.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete one staged table that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
