@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
 
-from cotflow.operators import consistency, cots, datasets, multihop, orderings, sampling, tools
+from pyspark.sql import DataFrame, functions as F
+
+from cotflow.functions.text import pipeline_type
+from cotflow.operators import consistency, cots, datasets, multihop, orderings, prompts, sampling, tools
 from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o, text_queries
 from cotflow.plans.registry import SQL, query
 from cotflow.session import stage_path
 from cotflow.sources import corpora, readers, writers
-from cotflow.streaming.responses import ingest_responses_stream
+from cotflow.sources.published import read_published
+from cotflow.streaming.responses import ingest_responses_stream, ingest_results_stream, read_results_stream
 
 
 @query(
@@ -401,28 +405,49 @@ def write_samples_csv(spark, sf_dir):
     return spark.read.options(**options).schema(rows.schema).csv(path)
 
 
-ALT_COTS_SQL = o.sql(
-    o.PATHS + graph_queries.CAPPED,
-    """SELECT example_id, cot_no::INT cot_no, path_no::INT path_no, question, answer, final_answer
-    FROM cots""",
-)
+def _as_text(tables: dict[str, str]) -> str:
+    """SQL that puts tables under one another, every row as JSON of its columns in order of their names."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS kind, to_json([{columns}])::VARCHAR AS content FROM ({sql})" for name, (sql, columns) in tables.items()
+    )
+
+
+# All five tables come from the same expressions, so the statement lists these once.
+ALT_CTES = o.PATHS + graph_queries.CAPPED + graph_queries.ALT_RESULTS
+ALT_TABLES = {
+    "cots": (
+        "SELECT example_id, cot_no, path_no, question, answer, final_answer FROM cots",
+        "answer, cot_no::VARCHAR, example_id, final_answer, path_no::VARCHAR, question",
+    ),
+    "combined": (o.select_of(SQL["combined_cots_text"], o.PATHS + graph_queries.CAPPED), "document, example_id"),
+    "metadata": (
+        o.select_of(SQL["alt_cot_metadata"], o.PATHS),
+        "cots_saved::VARCHAR, example_id, method, sampling_applied::VARCHAR, total_paths_generated::VARCHAR",
+    ),
+    "results": (o.select_of(SQL["alt_cot_results"], o.PATHS + graph_queries.ALT_RESULTS), "cots_saved::VARCHAR, error, example_id"),
+    "summary": (
+        o.select_of(SQL["alt_cot_summary"], o.PATHS + graph_queries.ALT_RESULTS),
+        "successful_examples::VARCHAR, total_cots_saved::VARCHAR, total_examples::VARCHAR",
+    ),
+}
 
 
-@query("write_alt_cots", ALT_COTS_SQL)
+@query("write_alt_cots", o.sql(ALT_CTES, _as_text(ALT_TABLES)))
 def write_alt_cots(spark, sf_dir):
-    """Writes the three tables of a style and reads the chains of thought back."""
+    """Publishes the five tables of a style and reads all of them back through the manifest."""
     paths = inputs.paths(spark, sf_dir)
     records = cots.cot_records(paths, inputs.results(spark, sf_dir), "example_ord", 10, 5)
-    root = writers.write_alt_cots(
-        cots.alternative_cots(records),
-        cots.alt_cot_metadata(paths, 10),
-        cots.alt_cot_summary(cots.alt_cot_results(paths, 10)),
-        stage_path(spark, "alt"),
-        "direct",
-    )
-    return spark.read.parquet(f"{root}/cots").select(
-        "example_id", "cot_no", "path_no", "question", "answer", "final_answer"
-    )
+    results, base = cots.alt_cot_results(paths, 10), stage_path(spark, "alt")
+    tables = cots.alternative_cots(records), cots.alt_cot_metadata(paths, 10), cots.alt_cot_summary(results)
+    writers.write_alt_cots(*tables, base, "direct", cots.combined_cots_text(records), results)
+
+    def listed(name):
+        names = sorted(c.split("::")[0].strip() for c in ALT_TABLES[name][1].split(", "))
+        df = read_published(spark, f"{base}/alternative_cots_direct", name)
+        texts = F.array(*[F.col(c).cast("string") for c in names])
+        return df.select(F.lit(name).alias("kind"), F.to_json(texts, {"ignoreNullFields": "false"}).alias("content"))
+
+    return functools.reduce(DataFrame.unionByName, map(listed, ALT_TABLES))
 
 
 @query(
@@ -494,6 +519,34 @@ def ingest_responses_stream_query(spark, sf_dir):
     return back.select("example_id", "stage", "cot", *[inputs.as_json(c) for c in ("segments", "nodes", "edges")])
 
 
+@query(
+    "ingest_results_stream",
+    o.sql(
+        text_queries.ASSEMBLED,
+        text_queries.ASSEMBLED_SELECT + " WHERE sr IS NOT NULL AND gr IS NOT NULL AND (direct OR cr IS NOT NULL)",
+    ),
+)
+def ingest_results_stream_query(spark, sf_dir):
+    """Responses arrive last stage first, every file twice, a few files per batch; results are
+    assembled from what the stream put together."""
+    base = stage_path(spark, "results-stream")
+    examples = inputs.examples(spark, sf_dir)
+    responses = inputs.responses(spark, sf_dir)
+    direct = pipeline_type(F.col("style")) == "direct_answer_segmentation"
+    stages = [F.lit(s) for s in ("segments", "graph", "cot")]
+    needed = examples.select("example_id", F.when(direct, F.array(*stages[:2])).otherwise(F.array(*stages)).alias("needed"))
+    for stage in ("graph", "segments", "cot", "graph"):
+        responses.where(F.col("stage") == stage).coalesce(2).write.mode("append").json(f"{base}/landing")
+    for turn in range(2):
+        # The second run goes on from the checkpoint of the first, when all files have come again.
+        if turn:
+            responses.coalesce(4).write.mode("append").json(f"{base}/landing")
+        ingest_results_stream(spark, f"{base}/landing", f"{base}/out", f"{base}/checkpoint", needed, 2).awaitTermination()
+    found = read_results_stream(spark, f"{base}/out")
+    complete = examples.join(found.select("example_id").distinct(), "example_id", "left_semi")
+    return text_queries.assembled_rows(prompts.assemble_results(complete, found))
+
+
 REPORT_SQL = f"""
 WITH summary AS ({SQL["analysis_summary"]}), steps AS (
   SELECT t.*, position_range FROM ({SQL["top_steps"]}) t LEFT JOIN ({SQL["step_position_variance"]}) v USING (step)

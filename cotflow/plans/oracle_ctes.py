@@ -396,3 +396,11 @@ sft_ids AS (
 
 def sql(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select.strip()}"
+
+
+def select_of(statement: str, ctes: str) -> str:
+    """What a statement made by ``sql`` selects."""
+    head = sql(ctes, "")
+    if not statement.startswith(head):
+        raise ValueError("the statement has other expressions")
+    return statement[len(head) :]

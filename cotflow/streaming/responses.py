@@ -1,10 +1,18 @@
-"""Responses that arrive as files are parsed and appended exactly once, so a crash loses
-at most the batch in flight. The stream is stateless."""
+"""Responses that arrive as files: parsed and appended one by one, or put together per example.
+
+``ingest_responses_stream`` is stateless and appends every response of every file exactly once, so
+a crash loses at most the batch in flight. ``ingest_results_stream`` keeps state per example and gives
+an example's responses when the last of its stages has come, once, also if files are sent again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cotflow import schemas
 from cotflow.functions.tags import extract_cot, extract_edges, extract_nodes, extract_segments
@@ -39,3 +47,70 @@ def ingest_responses_stream(
         .trigger(availableNow=True)
         .start(target)
     )
+
+
+STAGES = ("cot", "segments", "graph")
+GATHERED = "example_id string, cot_response string, segments_response string, graph_response string"
+HELD = "cot string, segments string, graph string, done boolean"
+
+
+def _gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Merge what came for one example with what is held for it; all stages together once."""
+    held = list(state.get) if state.exists else [None, None, None, False]
+    needed = set()
+    for frame in frames:
+        needed = set(frame["needed"].iloc[0])
+        if held[3]:
+            continue
+        for stage, response in zip(frame["stage"], frame["response"], strict=True):
+            if stage in STAGES and response is not None:
+                at = STAGES.index(stage)
+                # Of several texts the largest counts, as where all responses are at hand.
+                held[at] = response if held[at] is None else max(held[at], response)
+    if not held[3] and needed and all(held[STAGES.index(s)] is not None for s in needed):
+        yield pd.DataFrame([[key[0], *held[:3]]], columns=[c.split(" ")[0] for c in GATHERED.split(", ")])
+        # From here on only that it is done is kept.
+        held = [None, None, None, True]
+    state.update(tuple(held))
+
+
+def ingest_results_stream(
+    spark: SparkSession, source: str, target: str, checkpoint: str, needed: DataFrame, files_per_batch: int = 1000
+) -> StreamingQuery:
+    """Put the responses of each example together as their files arrive in ``source``.
+
+    ``needed`` has one row per example: example_id and the array of stages it waits for. An example
+    is written when its last stage has come; responses of it that come later, and examples that
+    ``needed`` does not have, change nothing. Every batch is written to a folder of its own number,
+    which a repeated batch replaces, so results are neither lost nor doubled by a restart; batches
+    without results leave none. ``read_results_stream`` reads them all.
+    """
+    arriving = (
+        spark.readStream.schema(schemas.RESPONSE)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .json(source)
+    )
+    known = needed.select("example_id", F.col("needed").cast("array<string>").alias("needed"))
+    gathered = (
+        arriving.join(known, "example_id")
+        .groupBy("example_id")
+        .applyInPandasWithState(_gather, GATHERED, HELD, "update", GroupStateTimeout.NoTimeout)
+    )
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        gathered.writeStream.foreachBatch(store)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_results_stream(spark: SparkSession, target: str) -> DataFrame:
+    """The responses put together so far, as rows (example_id, stage, response)."""
+    rows = spark.read.schema(f"{GATHERED}, batch long").parquet(target)
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_response").alias("response")) for s in STAGES])
+    return rows.select("example_id", F.inline(stages)).where(F.col("response").isNotNull())
