@@ -537,4 +537,4 @@ def test_pipeline_is_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {"pipeline", *QUERIES} <= set(names) and len(QUERIES) == 10
+    assert {"pipeline", *QUERIES} <= set(names) and len(QUERIES) == 13
