@@ -8,10 +8,20 @@ from cotflow import schemas
 from cotflow.functions.lambdas import let
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def tag_text(response: Column, tag: str) -> Column:
-    """Trimmed text between the first ``<tag>`` and its close tag; NULL without one."""
-    pattern = rf"(?s)<{tag}>\s*(.*?)\s*</{tag}>"
-    return F.when(response.rlike(pattern), F.regexp_extract(response, pattern, 1))
+    """Trimmed text between the first ``<tag>`` and its close tag; NULL without one.
+
+    Two searches for fixed texts, each begun where the one before ended.
+    """
+    opening, closing = F.lit(f"<{tag}>"), F.lit(f"</{tag}>")
+    start = F.position(opening, response)
+    begin = start + len(f"<{tag}>")
+    stop = F.position(closing, response, begin)
+    body = F.btrim(F.substring(response, begin, stop - begin), F.lit(BLANKS))
+    return F.when((start > 0) & (stop > 0), body)
 
 
 # JSON as the standard has it: no comments, single quotes or bare control characters.

@@ -184,28 +184,37 @@ def with_graph(results: DataFrame) -> DataFrame:
     return computed_once(results, keys, graph.alias("graph"))
 
 
+# A calculated number follows an equals sign; every other number of a text is used.
+NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+RESULT = rf"=\s*\$?({NUMBER})"
+
+
+def _numbers(text: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), 1)
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))
+
+
+def calculated_numbers(text: Column) -> Column:
+    return _numbers(text, RESULT)
+
+
+def used_numbers(text: Column) -> Column:
+    return _numbers(F.regexp_replace(text, RESULT, "="), f"({NUMBER})")
+
+
 def value_dependency_edges(nodes: Column) -> Column:
     """Edge A→B when B uses a number that the earlier A calculated.
 
-    A calculated number follows an equals sign; every other number of a text is used.
+    Compares the nodes of a record pair by pair; ``value_dependency_edge_rows`` looks numbers up
+    instead, for records of hundreds of nodes.
     """
-    number = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-    result = rf"=\s*\$?({number})"
-
-    def plain(found: Column) -> Column:
-        return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))
-
     parsed = F.transform(
         nodes,
         lambda n, i: F.struct(
             n["id"].alias("id"),
             i.alias("at"),
-            plain(F.regexp_extract_all(n["text"], F.lit(result), 1)).alias("made"),
-            plain(
-                F.regexp_extract_all(
-                    F.regexp_replace(n["text"], result, "="), F.lit(f"({number})"), 1
-                )
-            ).alias("used"),
+            calculated_numbers(n["text"]).alias("made"),
+            used_numbers(n["text"]).alias("used"),
         ),
     )
 
@@ -220,3 +229,23 @@ def value_dependency_edges(nodes: Column) -> Column:
         return F.flatten(F.transform(all_nodes, out_of))
 
     return F.coalesce(let(parsed, edges_of), empty("array<array<string>>"))
+
+
+def value_dependency_edge_rows(records: DataFrame) -> DataFrame:
+    """(example_id, src, dst, src_at, dst_at): the same edges for (example_id, nodes) as rows.
+
+    Nodes meet in an equi-join on record and number, so the work grows with the numbers and the
+    edges there are, and a long record spreads over all partitions. Positions tell nodes apart that
+    share an id.
+    """
+    nodes = records.select("example_id", F.posexplode("nodes").alias("at", "n")).select("example_id", "at", "n.id", "n.text")
+
+    def numbers(found: Column, end: str) -> DataFrame:
+        return nodes.select(
+            "example_id", F.col("at").alias(f"{end}_at"), F.col("id").alias(end), F.explode(F.array_distinct(found)).alias("value")
+        )
+
+    made = numbers(calculated_numbers(F.col("text")), "src")
+    used = numbers(used_numbers(F.col("text")), "dst")
+    met = made.join(used, ["example_id", "value"]).where("src_at < dst_at")
+    return met.select("example_id", "src", "dst", "src_at", "dst_at").distinct()

@@ -59,6 +59,35 @@ def value_dependency_edges(spark, sf_dir):
     return found.select("example_id", F.get("e", F.lit(0)).alias("src"), F.get("e", F.lit(1)).alias("dst"))
 
 
+@query(
+    "value_dependency_edges_lines",
+    rf"""WITH doc AS (
+      SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') lines FROM documents WHERE text IS NOT NULL),
+    steps AS (
+      SELECT doc_id, i, length(lines[i // 2]) || ' and ' || (length(lines[i]) % 7) || ' give = ' || length(lines[i]) AS text
+      FROM doc, unnest(range(1, len(lines) + 1)) t(i)),
+    made AS (SELECT doc_id, i, unnest(regexp_extract_all(text, '=\s*\$?({o.NUMBER})', 1)) v FROM steps WHERE text IS NOT NULL),
+    used AS (SELECT doc_id, i, unnest(regexp_extract_all(regexp_replace(text, '=\s*\$?({o.NUMBER})', '=', 'g'), '({o.NUMBER})', 1)) v FROM steps
+      WHERE text IS NOT NULL)
+    SELECT DISTINCT 'documents_train_' || m.doc_id example_id, 's' || m.i src, 's' || u.i dst
+    FROM made m JOIN used u ON u.doc_id = m.doc_id AND u.v = m.v AND m.i < u.i""",
+)
+def value_dependency_edges_lines(spark, sf_dir):
+    """Steps from all lines of a document: each gives its own length and uses that of line i / 2."""
+    rows = inputs.line_graphs(spark, sf_dir)
+
+    def length(at):
+        return F.length(F.get("nodes", at)["text"])
+
+    def step(n, i):
+        before = F.call_function("div", i + 1, F.lit(2)).cast("int") - 1
+        text = F.concat(length(before), F.lit(" and "), length(i) % 7, F.lit(" give = "), length(i))
+        return F.struct(n["id"].alias("id"), F.when(before >= 0, text).alias("text"))
+
+    steps = rows.select("example_id", F.transform("nodes", step).alias("nodes"))
+    return graphs.value_dependency_edge_rows(steps).select("example_id", "src", "dst")
+
+
 @query(
     "valid_edges",
     o.sql(
