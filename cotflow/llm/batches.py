@@ -6,6 +6,7 @@ over the ring of 64-bit integers, taken from prefix sums, and mixed at the end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,19 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES, lower: bool = False)
 def give_back() -> None:
     """Return what a batch needed to the system: Python workers live on after their task."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trimmer():
+    """glibc keeps small freed pieces unless it is asked; other C libraries have no such call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return None
+
+
+_TRIM = _trimmer()
 
 
 def repeats(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
