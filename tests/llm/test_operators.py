@@ -450,15 +450,14 @@ def test_groups_of_many_strangers_are_refined(spark):
     assert got == brute.classes(rows)
 
 
-@pytest.mark.parametrize("n", [100, 400])
-def test_pairs_to_verify_grow_with_the_group(spark, n, monkeypatch):
-    """Copies with five random edits each, alike in pairs by 0.7 to 0.8."""
-    draws, words = random.Random(31), vocabulary(32)
+def test_pairs_to_verify_stay_few(spark, monkeypatch):
+    """Copies with five random edits each, nearly all pairs of them alike by 0.6 to 0.8."""
+    draws, words, n = random.Random(31), vocabulary(32), 250
     text = sentence(draws, words, 300).split()
     rows = []
     for i in range(n):
         edited = list(text)
-        for at in draws.sample(range(300), 7):
+        for at in draws.sample(range(300), 5):
             edited[at] = draws.choice(words)
         rows.append((i, " ".join(edited)))
     counts, found = [], near_dup.verified
@@ -470,9 +469,8 @@ def test_pairs_to_verify_grow_with_the_group(spark, n, monkeypatch):
     monkeypatch.setattr(near_dup, "verified", counted)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute.classes(rows)
-    assert sum(counts) < 40 * n
-    # Who is linked at all, is found; classes may fall apart where a chain hangs on one link.
-    assert sum(got[i] == want[i] for i in want) >= 0.9 * n
+    assert sum(counts) < 60 * n
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * n
 
 
 def test_unlike_texts_with_one_id_all_stay(spark):
