@@ -411,3 +411,13 @@ def test_separate_cuts_of_a_repeated_sentence_do_not_overlap(spark):
     assert late("ab. cd.", ["ab.", "b. c", "cd."]) == ["s2"]
     assert late("ab. cd.", ["cd.", "ab."]) == ["s2"]
     assert late("ab.", ["ab.", "", "zz"]) == []
+
+
+def test_differences_come_in_report_order(spark):
+    ids = [str(i) for i in range(60)] + ["Z", "a", "é"]
+    rows = [(f, i) for k, f in enumerate(("b.jsonl", "a.jsonl", "c.jsonl")) for n, i in enumerate(ids) if n % (k + 2)]
+    df = spark.createDataFrame(rows, "file string, id string").repartition(7)
+    found = consistency.sorted_differences(consistency.id_differences(df))
+    got = [(r["file"], r["side"], r["id"]) for r in found.collect()]
+    assert len(got) > 40 and {s for _, s, _ in got} == {"missing", "extra"}
+    assert got == sorted(got, key=lambda r: (r[0], r[1] != "missing", r[2]))
