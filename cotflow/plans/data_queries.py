@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cotflow.functions.text import pipeline_type
 from cotflow.operators import consistency, cots, datasets, multihop, orderings, prompts, sampling, tools
+from cotflow.operators.reconciliation import reconcile_ids
 from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o, text_queries
 from cotflow.plans.registry import SQL, query
 from cotflow.session import stage_path
@@ -127,7 +128,13 @@ def sorted_differences(spark, sf_dir):
     ),
 )
 def ids_consistent(spark, sf_dir):
-    return consistency.ids_consistent(_differences(spark, sf_dir))
+    rows = inputs.sft_ids(spark, sf_dir)
+    return consistency.ids_consistent(reconcile_ids(rows, reference_file="original.jsonl"))
+
+
+@query("reconcile_ids", SQL["id_differences"])
+def reconciled_differences(spark, sf_dir):
+    return reconcile_ids(inputs.sft_ids(spark, sf_dir), reference_file="original.jsonl")
 
 
 @query("all_ids", o.sql(o.SFT_IDS, "SELECT DISTINCT id FROM sft_ids WHERE id IS NOT NULL"))

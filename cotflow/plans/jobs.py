@@ -8,6 +8,7 @@ from cotflow.functions.text import pipeline_type, sft_prompt
 from cotflow.operators import analysis, consistency, cots, datasets, prompts, segments
 from cotflow.operators.graphs import value_dependency_edges
 from cotflow.operators.orderings import reasoning_paths
+from cotflow.operators.reconciliation import reconcile_ids
 from cotflow.operators.sampling import train_val_split
 from cotflow.operators.scoring import accuracy, score_predictions
 
@@ -75,7 +76,7 @@ def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
 
 def check_ids(rows: DataFrame, reference_file: str | None = None) -> dict[str, DataFrame]:
     names = consistency.file_names(rows)
-    differences = consistency.id_differences(rows, names, reference_file)
+    differences = reconcile_ids(rows, names, reference_file)
     return {
         "files": consistency.ids_per_file(rows),
         "differences": consistency.sorted_differences(differences),
