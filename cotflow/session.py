@@ -72,6 +72,16 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def stage_table(spark: SparkSession, name: str) -> str:
+    """A catalog name that no other run uses, for a staged table that needs one."""
+    unique = f"{name}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(unique)
+    return unique
+
+
 def write_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
     """A small file of a given name, in whatever store the path names; whole or not at all."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -95,5 +105,7 @@ def drop_stage(spark: SparkSession, path: str) -> None:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete what this session staged; call it when no result that reads a stage is needed."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _STAGES.pop(spark.sparkContext.applicationId, []):
         drop_stage(spark, path)
