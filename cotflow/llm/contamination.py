@@ -36,6 +36,9 @@ SAFE = 9
 SHORT = math.ceil(SAFE / THRESHOLD)  # items with fewer shingles
 # Up to so many bytes of items every task gets a copy of them; beyond, sketches are joined.
 BROADCAST_BYTES = 8 << 20
+# Beyond, shingles of documents meet a Bloom filter of the items' before they are exchanged: at most
+# so many words of 64 bits. Fuller filters let more shingles pass, none is lost.
+FILTER_WORDS = 1 << 21
 RESULT = "doc_id long, item_id long, containment double"
 SKETCH = "size_class int, hash long"
 
@@ -208,23 +211,57 @@ def contained_items(
     return rows.mapInArrow(search, RESULT)
 
 
+def filter_places(classes: np.ndarray, hashes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter word of every (size class, hash), and its three bits there."""
+    mixed = mix(hashes ^ mix(classes.astype(np.int64).view(np.uint64) + np.uint64(2)))
+    one, six = np.uint64(1), np.uint64(63)
+    mask = one << (mixed >> np.uint64(58)) | one << (mixed >> np.uint64(52) & six) | one << (mixed >> np.uint64(46) & six)
+    return (mixed & np.uint64(n_words - 1)).astype(np.int64), mask
+
+
+def item_filter(sketches: DataFrame) -> np.ndarray:
+    """A Bloom filter of SKETCH rows, some sixteen bits for each as long as FILTER_WORDS allows."""
+    n_words = min(FILTER_WORDS, 1 << max(10, math.ceil(math.log2(sketches.count() / 4 + 1))))
+
+    def places(batches):
+        for batch in batches:
+            classes, hashes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            words, mask = filter_places(classes, hashes.view(np.uint64), n_words)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    placed = sketches.select("size_class", "hash").mapInArrow(places, "word long, mask long")
+    merged = placed.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(n_words, np.uint64)
+    out[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bloom: np.ndarray, classes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    words, mask = filter_places(classes, hashes, len(bloom))
+    return bloom[words] & mask == mask
+
+
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same search when the items are too many to copy: sketches meet in a join."""
     n_words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     lengths = items.select(F.least(n_words, F.lit(SHORT + SHINGLE)).alias("n")).where("n > 0").distinct()
     lengths = [r["n"] for r in lengths.collect()]
     sizes = sorted({min(n, SHINGLE) for n in lengths})
-    right = items.mapInArrow(_item_rows, f"item_id long, {SKETCH}").distinct()
+    right = staged(items.mapInArrow(_item_rows, f"item_id long, {SKETCH}").distinct(), "contamination-items")
     short = not right.where("size_class = -1").isEmpty()
+    bloom = item_filter(right)
 
     def doc_sketches(batches):
         for part, texts in blocks(batches, "text", lower=True):
             rows, hashes = shingle_hashes(texts, sizes)
             classes = size_class(np.bincount(rows, minlength=texts.n))
             at, kept = sketch(rows, hashes, classes)
-            yield _rows(part, at, classes[at], kept)
+            known = passes(bloom, classes[at], kept)
+            yield _rows(part, at[known], classes[at[known]], kept[known])
             if short:
-                yield _rows(part, rows, np.full(len(rows), -1), hashes)
+                every = np.full(len(rows), -1)
+                known = passes(bloom, every, hashes)
+                yield _rows(part, rows[known], every[known], hashes[known])
 
     left = docs.mapInArrow(doc_sketches, f"doc_id long, {SKETCH}").distinct()
     pairs = left.join(right, ["size_class", "hash"]).select("doc_id", "item_id").distinct()

@@ -3,8 +3,9 @@
 A window is WINDOW consecutive words of one document. A word is removed when it lies in a window
 whose word sequence also starts earlier: in a document with a smaller id, or earlier in the same.
 
-1. Documents are packed into units of about UNIT_BYTES of text and stored once, bucketed by unit,
-   so that every later step reads its unit in place and only small messages are exchanged.
+1. Documents are packed into units and stored once, bucketed by unit, so that every later step
+   reads its unit in place and only small messages are exchanged. Units grow with the table
+   (``unit_size``), so that messages, one per unit and range of hashes, stay in proportion to it.
 2. Every unit sketches its windows: DEPTH rows of hash cells with counts that stop at two. Sketches
    are sent cell range by cell range, merged, and each unit learns which of its cells hold two or
    more windows of the whole table. A window whose cells all do is estimated repeated. Estimates
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotflow.llm.batches import Texts, arrow_schema, blocks, covered, prefix_sums, window_hashes, window_starts
 from cotflow.llm.frames import shuffle_parts
-from cotflow.session import stage_path
+from cotflow.session import stage_path, stage_table
 
 WINDOW = 20
-UNIT_BYTES = 1_000_000
+UNIT_BYTES, MAX_UNIT_BYTES = 1_000_000, 8_000_000  # text; a task needs some thirty times a unit
+UNITS = 1000  # as many as a table has before its units grow
+BUCKET_BYTES = 64_000_000  # text per bucket of stored units
+MAX_BUCKETS = 100_000  # what Spark allows unless told otherwise
 DEPTH = 2
 CELLS_PER_WINDOW = 8  # and row; more cells, fewer false alarms, longer messages
 RANGE_CELLS = 2_000_000  # messages are grouped by ranges of about so many used cells
@@ -151,10 +154,18 @@ def _as_batch(raw: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
-def _bucketed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows stored in the shared folder in buckets by unit."""
-    name = f"substring_units_{uuid.uuid4().hex}"
-    n = shuffle_parts(spark)
+def unit_size(n_bytes: int) -> int:
+    """Bytes of text per unit in a table of n_bytes."""
+    return min(MAX_UNIT_BYTES, max(UNIT_BYTES, n_bytes // UNITS))
+
+
+def bucket_count(n_bytes: int, least: int) -> int:
+    return min(MAX_BUCKETS, max(least, math.ceil(n_bytes / BUCKET_BYTES)))
+
+
+def _bucketed(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
+    """rows stored in the shared folder in n buckets by unit."""
+    name = stage_table(spark, "substring_units")
     (
         rows.repartition(n, "unit").write.format("parquet").option("compression", "none")
         .option("path", stage_path(spark, name)).bucketBy(n, "unit").saveAsTable(name)
@@ -335,18 +346,33 @@ def _kept_text(texts: Texts, removed: np.ndarray, row: int) -> str:
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def _searched(docs: DataFrame, window: int, unit_bytes: int, id_col: str, text_col: str, others: list[str]) -> tuple[DataFrame, DataFrame, Shape]:
-    """The stored units, and per unit the messages that name its windows which start earlier elsewhere."""
-    stored = _bucketed(docs.sparkSession, units(docs, window, unit_bytes, id_col, text_col, others))
-    shape = Shape.of(stored.agg(F.sum("windows")).first()[0] or 0, window)
-    lean = stored.drop("others")
+def stored_units(
+    docs: DataFrame, window: int, unit_bytes: int | None, id_col: str, text_col: str, others: list[str]
+) -> tuple[DataFrame, Shape]:
+    """The units, in buckets, and the shape of their sketches; both follow the size of the texts."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    made = units(docs, window, unit_bytes or unit_size(n_bytes), id_col, text_col, others)
+    stored = _bucketed(spark, made, bucket_count(n_bytes, shuffle_parts(spark)))
+    return stored, Shape.of(stored.agg(F.sum("windows")).first()[0] or 0, window)
+
+
+def sketched(stored: DataFrame, shape: Shape) -> DataFrame:
+    """The sketch messages of all units."""
 
     def sketches(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 yield _batch(sketch_messages(Unit.of(row), shape), MESSAGE)
 
-    counted = lean.mapInArrow(sketches, MESSAGE).groupBy("part").applyInArrow(merge_sketches, MESSAGE)
+    return stored.drop("others").mapInArrow(sketches, MESSAGE)
+
+
+def _searched(docs: DataFrame, window: int, unit_bytes: int | None, id_col: str, text_col: str, others: list[str]) -> tuple[DataFrame, DataFrame, Shape]:
+    """The stored units, and per unit the messages that name its windows which start earlier elsewhere."""
+    stored, shape = stored_units(docs, window, unit_bytes, id_col, text_col, others)
+    lean = stored.drop("others")
+    counted = sketched(stored, shape).groupBy("part").applyInArrow(merge_sketches, MESSAGE)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -367,7 +393,7 @@ def _removed(unit: Unit, shape: Shape, right: pa.Table) -> tuple[np.ndarray, np.
 
 
 def deduplicated(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES,
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None,
     digest: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, and the kept text or its digest.
@@ -399,7 +425,7 @@ def deduplicated(
 
 
 def cut_repeated(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None
 ) -> DataFrame:
     """docs, all columns, with repeated words taken out of the texts; texts that lose none stay
     byte for byte. The other columns travel with the unit, so nothing is joined."""

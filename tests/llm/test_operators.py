@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import compare
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from cotflow import session  # noqa: E402
 from cotflow.llm import (  # noqa: E402
     contamination, language, line_crf, near_dup, packing, quality, quotes, sharding, substrings, toxicity,
 )
@@ -238,6 +240,40 @@ def test_cut_texts_keep_their_columns(spark, odd, odd_rows):
         assert brute.words(r["text"]) == [w for w, g in zip(found, gone, strict=True) if not g]
 
 
+def test_units_grow_with_the_table(spark, odd, odd_rows, monkeypatch):
+    """Twice the table gives some twice the messages, not four times; the results stay."""
+    draws, words = random.Random(5), vocabulary(300)
+    rows = [(i, sentence(draws, words, 60)) for i in range(400)]
+    monkeypatch.setattr(substrings, "UNIT_BYTES", 1000)
+    monkeypatch.setattr(substrings, "RANGE_CELLS", 500)
+    sent = []
+    for units, n in ((8, 200), (8, 400), (10**9, 200), (10**9, 400)):
+        monkeypatch.setattr(substrings, "UNITS", units)
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").coalesce(1)
+        stored, shape = substrings.stored_units(docs, 20, None, "doc_id", "text", [])
+        sent.append(substrings.sketched(stored, shape).count())
+    grown, more, fixed, many = sent
+    assert more < 2.2 * grown and many > 2.5 * fixed
+    monkeypatch.setattr(substrings, "UNITS", 8)
+    want = {i: sum(g) for i, (_, g) in brute.kept_words(odd_rows).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicated(odd).collect()} == want
+
+
+def test_sizes_of_units_and_buckets():
+    assert [substrings.unit_size(n) for n in (0, 10**9, 4 * 10**9, 10**14)] == [1_000_000, 1_000_000, 4_000_000, 8_000_000]
+    assert [substrings.bucket_count(n, 200) for n in (0, 64 * 10**9, 10**14)] == [200, 1000, 100_000]
+
+
+def test_stored_units_are_dropped(spark, odd, monkeypatch):
+    monkeypatch.setattr(session, "_STAGES", {})
+    monkeypatch.setattr(session, "_TABLES", {})
+    stored, _ = substrings.stored_units(odd, 20, None, "doc_id", "text", [])
+    (name,) = session._TABLES[spark.sparkContext.applicationId]
+    assert spark.catalog.tableExists(name) and stored.count()
+    session.drop_stages(spark)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_substrings_survive(spark, messy, empty):
     assert substrings.deduplicated(empty).collect() == []
     assert substrings.cut_repeated(empty).collect() == []
@@ -375,6 +411,19 @@ def test_contained_items(spark, odd, odd_rows, messy, empty, monkeypatch, bytes_
     assert null_ids == {i for d, i in got if d % 3 == 0}
 
 
+def test_filter_of_item_shingles(spark, monkeypatch):
+    draws = np.random.default_rng(4)
+    classes, hashes = draws.integers(-1, 12, 5000), draws.integers(-(2**63), 2**63, 5000)
+    rows = spark.createDataFrame(pd.DataFrame({"size_class": classes.astype(np.int32), "hash": hashes}))
+    strangers = draws.integers(0, 2**64, 100_000, dtype=np.uint64)
+    for most, share in ((contamination.FILTER_WORDS, 0.02), (1024, 0.2)):
+        monkeypatch.setattr(contamination, "FILTER_WORDS", most)
+        bloom = contamination.item_filter(rows)
+        assert len(bloom) <= most and contamination.passes(bloom, classes, hashes.view(np.uint64)).all()
+        assert contamination.passes(bloom, np.zeros(len(strangers), int), strangers).mean() < share
+    assert not contamination.item_filter(rows.where("false")).any()
+
+
 @pytest.mark.parametrize("bytes_copied", [contamination.BROADCAST_BYTES, 0])
 def test_contaminated_rows_go_one_by_one(spark, messy, monkeypatch, bytes_copied):
     """Clean rows stay whose id, or null id, a contaminated row has too."""
