@@ -43,8 +43,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents by sequence, with checksums of their token ids; a null text counts as empty."""
-    return packing.pack(docs)
+    """The pieces of all documents by sequence, with their token ids; a null text counts as empty."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
