@@ -577,6 +577,8 @@ def test_pipeline_on_odd_tables(spark, messy, tmp_path):
         spark.read.parquet(f"{TINY}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
         spark.read.parquet(f"{TINY}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
         pieces = corpus_pipeline.run(spark, folder)
+        for r in pieces.select("ids", "length", "ids_crc32").collect():
+            assert (len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) == (r["length"], r["ids_crc32"])
         assert pieces.isEmpty() == (name == "none")
 
 
