@@ -8,8 +8,10 @@ the prefixes kept and as much for the children that the cap is cut from.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cotflow.functions.hashing import next_state, start_state
 from cotflow.functions.lambdas import computed_once, empty, let, upto
@@ -22,6 +24,7 @@ from cotflow.operators.graphs import (
     mark,
     with_graph,
 )
+from cotflow.operators.order_batches import add_orderings
 
 # How many orderings each level of detail asks for.
 SAMPLES_FULL, SAMPLES_COTS = 500, 50
@@ -291,7 +294,8 @@ def reasoning_paths(results: DataFrame, for_cots: bool = False, seed: int = 0) -
     """Orderings per example; examples that cannot have any keep a row with an error.
 
     Orderings stay node numbers next to one copy of the node ids and texts; ``path_rows``
-    spells them out. ``example_ord`` passes through when the input has it.
+    spells them out. ``example_ord`` passes through when the input has it. Graphs of up to MAX_BITS
+    nodes are handled together by Arrow batch (``order_batches``), wider ones as expressions.
     """
     keys = [c for c in ("example_ord", "example_id") if c in results.columns]
     graph, key = F.col("graph"), F.col("example_id")
@@ -304,22 +308,37 @@ def reasoning_paths(results: DataFrame, for_cots: bool = False, seed: int = 0) -
     ).withColumn("plan", generation_plan(F.col("complexity_estimate"), for_cots))
     samples = SAMPLES_COTS if for_cots else SAMPLES_FULL
     good, plan = F.col("error").isNull(), F.col("plan")
-    orderings = F.when(
-        good & (plan["method"] == "exhaustive"), enumerate_orderings(graph, plan["cap"])
-    ).when(good, sample_orderings(graph, key, samples, seed))
-    found = computed_once(
-        planned,
-        [*keys, "graph", "error", "complexity_estimate", "plan"],
-        orderings.alias("orderings"),
+    sampling, small = plan["method"] == "sampling", F.size(graph["ids"]) <= MAX_BITS
+    wide = F.when(
+        good & ~small,
+        F.when(sampling, sample_orderings(graph, key, samples, seed)).otherwise(enumerate_orderings(graph, plan["cap"])),
     )
-    return found.select(
+    rows = planned.select(
         *keys,
         "error",
         "complexity_estimate",
         F.when(good, plan["method"]).alias("method"),
-        F.when(good, F.size("orderings")).alias("total_paths"),
         graph["ids"].alias("node_ids"),
         graph["texts"].alias("node_texts"),
+        wide.alias("wide"),
+        F.when(good & small, F.size(graph["ids"])).otherwise(0).cast("bigint").alias("nodes"),
+        F.coalesce(F.when(good & small, graph["codes"]), empty("array<bigint>")).alias("edges"),
+        F.coalesce(plan["cap"], F.lit(0)).cast("bigint").alias("cap"),
+        F.coalesce(sampling, F.lit(False)).alias("sample"),
+        key.alias("key"),
+    )
+    rounds = _rounds(samples * ATTEMPTS_PER_SAMPLE)
+    schema = StructType([*rows.schema.fields[:-5], StructField("orderings", ArrayType(ArrayType(IntegerType())))])
+    found = rows.mapInArrow(partial(add_orderings, samples, seed, rounds), schema)
+    found = found.withColumn("orderings", F.coalesce("orderings", "wide"))
+    return found.select(
+        *keys,
+        "error",
+        "complexity_estimate",
+        "method",
+        F.when(F.col("error").isNull(), F.size("orderings")).alias("total_paths"),
+        "node_ids",
+        "node_texts",
         "orderings",
     )
 

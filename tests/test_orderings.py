@@ -6,11 +6,13 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cotflow import schemas
-from cotflow.operators import analysis, graphs, orderings
+from cotflow.operators import analysis, graphs, order_batches, orderings
 
 RESULT = f"example_id string, nodes {schemas.NODES}, edges {schemas.EDGES}, success boolean"
 
@@ -252,3 +254,30 @@ def test_reports_on_nothing(spark):
     assert tuple(analysis.flexibility_stats(paths).first()) == (0, 0.0, 0)
     assert tuple(analysis.path_run_summary(paths).first()) == (0, 0, 0)
     assert analysis.alt_cot_overview(paths).first()["avg_paths"] is None
+
+
+@pytest.mark.parametrize("cells", [1, 64, order_batches.CELLS])
+def test_batches_give_every_graph_once_in_bounded_parts(monkeypatch, cells):
+    """Caps, samples and duplicate or null keys of one batch, whatever is held at a time."""
+    monkeypatch.setattr(order_batches, "CELLS", cells)
+    cases = [*random_graphs(25, 3, range(1, 7)), ("free", 14, [(i, i + 1) for i in range(1, 11)])]
+    nodes = np.array([0] + [n for _, n, _ in cases])
+    edges = [[]] + [[(a - 1) * n + b - 1 for a, b in found] for _, n, found in cases]
+    sample = np.arange(len(nodes)) % 3 == 1
+    caps = np.where(np.arange(len(nodes)) % 2, 7, 100)
+    keys = [None] + [None if i == 4 else f"g{i % 20}" for i in range(len(cases))]
+    rounds = orderings._rounds(4 * orderings.ATTEMPTS_PER_SAMPLE)
+    got = {}
+    for at, found in order_batches.orderings_of(nodes, pa.array(edges, pa.list_(pa.int64())), caps, sample, keys, 4, 9, rounds):
+        if cells == 1 and not sample[at[0]]:
+            assert len(at) == 1
+        assert not set(at.tolist()) & set(got)
+        got |= dict(zip(at.tolist(), found.to_pylist(), strict=True))
+    assert sorted(got) == list(range(1, len(nodes)))
+    for i, (_, n, wanted) in enumerate(cases, 1):
+        if sample[i]:
+            assert got[i] == draw(9, keys[i], n, wanted, 4)
+        elif n < 7:
+            assert got[i] == brute(n, wanted)[: caps[i]]
+        else:
+            assert len(got[i]) == caps[i] and got[i] == sorted(got[i])
