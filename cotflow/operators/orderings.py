@@ -33,6 +33,7 @@ CAPS_COTS = {"MEDIUM": 100, "LOW": 200}
 ATTEMPTS_PER_SAMPLE = 5
 
 FIRST_ROUND = 8
+TAIL = 8
 TABLE_BITS = 10
 
 
@@ -50,6 +51,9 @@ class _Bits:
         listed = F.get(self.table, placed.cast("int"))
         return F.coalesce(_pick(listed, rng), let(self.ready(placed), lambda r: _pick(r, rng)))
 
+    def slot(self, node: Column) -> Column:
+        return F.get(self.slots, node)
+
     def place(self, placed: Column, slot: Column) -> Column:
         return placed.bitwiseOR(slot["bit"])
 
@@ -73,13 +77,14 @@ class _Lists:
         return word.bitwiseAND(bit(v % MAX_BITS)) != 0
 
     def ready(self, state: Column) -> Column:
-        return F.transform(
-            state["ready"], lambda v: F.struct(v.alias("node"), mark(v).alias("mark"))
-        )
+        return F.transform(state["ready"], self.slot)
+
+    def slot(self, node: Column) -> Column:
+        return F.struct(node.alias("node"), mark(node).alias("mark"))
 
     def choose(self, state: Column, rng: Column) -> Column:
         node = _pick(state["ready"], rng)
-        return F.when(node.isNotNull(), F.struct(node.alias("node"), mark(node).alias("mark")))
+        return F.when(node.isNotNull(), self.slot(node))
 
     def place(self, state: Column, slot: Column) -> Column:
         node = slot["node"]
@@ -139,12 +144,59 @@ def enumerate_orderings(graph: Column, cap: Column | int = 10000) -> Column:
     be completed, so keeping the ``cap`` smallest prefixes per level loses none of the
     ``cap`` smallest orderings. A cyclic graph runs out of prefixes and gives an empty
     list. Children follow their parents in ascending order, so no sort is needed.
+
+    Orderings that begin like the smallest one come before all others. So its last TAIL nodes alone
+    are arranged first, then twice as many, until there are ``cap`` orderings or all nodes take part.
     """
     cap = F.lit(cap) if isinstance(cap, int) else cap
     return _by_size(graph, lambda state: _enumerate(graph, cap, state))
 
 
+def _first(graph: Column, state: _State) -> Column:
+    """The smallest ordering, or as far as it goes in a cyclic graph."""
+
+    def step(s: Column, _: Column) -> Column:
+        def placed(slot: Column) -> Column:
+            grown = F.struct(
+                F.concat(s["path"], F.array(slot["node"])).alias("path"),
+                state.place(s["state"], slot).alias("state"),
+            )
+            return F.when(slot.isNull(), s).otherwise(grown)
+
+        return let(F.get(state.ready(s["state"]), F.lit(0)), placed)
+
+    start = F.struct(empty("array<int>").alias("path"), state.start.alias("state"))
+    return F.aggregate(upto(F.size(graph["ids"])), start, step, lambda s: s["path"])
+
+
 def _enumerate(graph: Column, cap: Column, state: _State) -> Column:
+    n = F.size(graph["ids"])
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n / TAIL, F.lit(1.0)))).cast("int"))
+    tails = F.transform(doublings, lambda k: F.least(n, F.call_function("shiftleft", F.lit(TAIL), k)))
+
+    def behind(head: Column, tail: Column) -> Column:
+        begun = F.aggregate(head, state.start, lambda s, v: state.place(s, state.slot(v)))
+        found = let(begun, lambda start: _arranged(tail, cap, state, start))
+        return F.transform(found, lambda path: F.concat(head, path))
+
+    def longer(first: Column) -> Column:
+        return F.aggregate(
+            tails,
+            empty("array<array<int>>"),
+            lambda found, tail: F.when(F.size(found) >= cap, found).otherwise(
+                let(F.slice(first, F.lit(1), n - tail), lambda head: behind(head, tail))
+            ),
+        )
+
+    return let(
+        _first(graph, state),
+        lambda first: F.when(F.size(first) == n, longer(first)).otherwise(empty("array<array<int>>")),
+    )
+
+
+def _arranged(levels: Column, cap: Column, state: _State, begun: Column) -> Column:
+    """The first ``cap`` ways to go on from a state by so many nodes."""
+
     def grow(prefixes: Column, _: Column) -> Column:
         """A child is its parent's place and a slot until the cap has cut; only then it gets a state."""
         picks = F.flatten(
@@ -167,9 +219,9 @@ def _enumerate(graph: Column, cap: Column, state: _State) -> Column:
 
         return F.transform(F.slice(picks, F.lit(1), cap), child)
 
-    start = F.array(F.struct(empty("array<int>").alias("path"), state.start.alias("state")))
+    start = F.array(F.struct(empty("array<int>").alias("path"), begun.alias("state")))
     return F.aggregate(
-        upto(F.size(graph["ids"])),
+        upto(levels),
         start,
         grow,
         lambda prefixes: F.transform(prefixes, lambda s: s["path"]),
@@ -209,7 +261,7 @@ def count_orderings(graph: Column, cap: int) -> Column:
 
 
 def is_acyclic(graph: Column) -> Column:
-    return F.size(enumerate_orderings(graph, 1)) == 1
+    return _by_size(graph, lambda state: F.size(_first(graph, state)) == F.size(graph["ids"]))
 
 
 def _draw(graph: Column, rng: Column, state: _State) -> Column:

@@ -281,3 +281,38 @@ def test_batches_give_every_graph_once_in_bounded_parts(monkeypatch, cells):
             assert got[i] == brute(n, wanted)[: caps[i]]
         else:
             assert len(got[i]) == caps[i] and got[i] == sorted(got[i])
+
+
+def in_order(n, edges, cap):
+    """The smallest orderings by depth-first search."""
+    before = [{a - 1 for a, b in edges if b - 1 == v} for v in range(n)]
+    found, path = [], []
+
+    def go():
+        if len(path) == n:
+            found.append(list(path))
+        for v in range(n):
+            if len(found) < cap and v not in path and before[v] <= set(path):
+                path.append(v)
+                go()
+                path.pop()
+
+    go()
+    return found
+
+
+@pytest.mark.parametrize("n", [12, 40, 70, 150])
+def test_tails_of_all_lengths_give_the_smallest_orderings(spark, n):
+    """Few free steps at the start, in the middle or at the end, so that short tails do not suffice."""
+    chain = [(i, i + 1) for i in range(1, n)]
+    cases = [
+        ("chain", n, chain),
+        ("free_start", n, [e for e in chain if e[0] > 2]),
+        ("free_end", n, [e for e in chain if e[0] < n - 6]),
+        ("halves", n, [e for e in chain if e[0] != n // 2]),
+        ("thirds", n, [(i, i + 3) for i in range(1, n - 2)]),
+    ]
+    found = with_graphs(spark, cases).select("example_id", orderings.enumerate_orderings(F.col("graph"), 30).alias("o"))
+    got = {r["example_id"]: r["o"] for r in found.collect()}
+    for name, _, edges in cases:
+        assert got[name] == in_order(n, edges, 30)
