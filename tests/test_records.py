@@ -421,3 +421,18 @@ def test_differences_come_in_report_order(spark):
     got = [(r["file"], r["side"], r["id"]) for r in found.collect()]
     assert len(got) > 40 and {s for _, s, _ in got} == {"missing", "extra"}
     assert got == sorted(got, key=lambda r: (r[0], r[1] != "missing", r[2]))
+
+
+def test_last_record_is_made_and_moved_once(spark):
+    """The rows are neither computed again for a join nor sent more than one per key and task."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 3000, 1, 3).selectExpr("id % 2 AS k", "id AS o", "concat('v', id) AS v")
+    got = cots.keep_last(rows.mapInArrow(count, rows.schema), "k", "o").collect()
+    assert sorted((r["k"], r["v"]) for r in got) == [(0, "v2998"), (1, "v2999")]
+    assert made.value == 3000
