@@ -539,21 +539,22 @@ def ingest_responses_stream_query(spark, sf_dir):
     ),
 )
 def ingest_results_stream_query(spark, sf_dir):
-    """Responses arrive last stage first, every file twice, a few files per batch; results are
-    assembled from what the stream put together."""
+    """Responses arrive last stage first, every file twice, as many files per batch as a stage has;
+    results are assembled from what the stream put together."""
     base = stage_path(spark, "results-stream")
     examples = inputs.examples(spark, sf_dir)
-    responses = inputs.responses(spark, sf_dir)
+    inputs.responses(spark, sf_dir).write.parquet(f"{base}/responses")
+    responses, files = spark.read.parquet(f"{base}/responses"), spark.sparkContext.defaultParallelism
     direct = pipeline_type(F.col("style")) == "direct_answer_segmentation"
     stages = [F.lit(s) for s in ("segments", "graph", "cot")]
     needed = examples.select("example_id", F.when(direct, F.array(*stages[:2])).otherwise(F.array(*stages)).alias("needed"))
     for stage in ("graph", "segments", "cot", "graph"):
-        responses.where(F.col("stage") == stage).coalesce(2).write.mode("append").json(f"{base}/landing")
+        responses.where(F.col("stage") == stage).coalesce(files).write.mode("append").json(f"{base}/landing")
     for turn in range(2):
         # The second run goes on from the checkpoint of the first, when all files have come again.
         if turn:
-            responses.coalesce(4).write.mode("append").json(f"{base}/landing")
-        ingest_results_stream(spark, f"{base}/landing", f"{base}/out", f"{base}/checkpoint", needed, 2).awaitTermination()
+            responses.coalesce(2 * files).write.mode("append").json(f"{base}/landing")
+        ingest_results_stream(spark, f"{base}/landing", f"{base}/out", f"{base}/checkpoint", needed, files).awaitTermination()
     found = read_results_stream(spark, f"{base}/out")
     complete = examples.join(found.select("example_id").distinct(), "example_id", "left_semi")
     return text_queries.assembled_rows(prompts.assemble_results(complete, found))

@@ -161,6 +161,20 @@ def test_stream_puts_examples_together_once(spark, tmp_path):
     assert sorted(tuple(r) for r in read_results_stream(spark, out).collect()) == done
 
 
+def test_stream_keeps_its_state_without_python(spark, tmp_path):
+    landing, rows = tmp_path / "landing", spark.range(300).selectExpr("concat('e', id) example_id")
+    rows.selectExpr("example_id", "explode(array('graph', 'segments')) stage", "'r' response").write.json(str(landing))
+    needed = rows.selectExpr("example_id", "array('segments', 'graph') needed")
+    query = ingest_results_stream(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "mark"), needed)
+    query.awaitTermination()
+    assert {s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]} == {"stateStoreSave"}
+    assert read_results_stream(spark, str(tmp_path / "out")).count() == 600
+    lost = rows.limit(1).selectExpr("example_id", "array('segments', 'other') needed")
+    query = ingest_results_stream(spark, str(landing), str(tmp_path / "bad"), str(tmp_path / "bad_mark"), lost)
+    with pytest.raises(Exception, match="unknown stage"):
+        query.awaitTermination()
+
+
 def test_preview_says_why_nothing_is_shown(spark):
     rows = [
         ("e1", None, ("LOW",), "exhaustive", 4, ["s1", "s2"], ["one", "two"], [[0, 1], [1, 0], [0, 1], [1, 0]]),
