@@ -316,3 +316,19 @@ def test_tails_of_all_lengths_give_the_smallest_orderings(spark, n):
     got = {r["example_id"]: r["o"] for r in found.collect()}
     for name, _, edges in cases:
         assert got[name] == in_order(n, edges, 30)
+
+
+def test_graphs_listed_in_order_need_no_slots(spark):
+    nodes = [("s1", "a"), ("s2", "b"), ("s3", "c")]
+    rows = [
+        ("forward", True, nodes, [["s1", "s2"], ["s1", "s3"], ["s2", "s3"]]), ("loop", True, nodes, [["s1", "s1"]]),
+        ("back", True, nodes, [["s3", "s1"], ["s1", "s2"]]), ("cycle", True, nodes, [["s1", "s2"], ["s2", "s1"]]),
+        ("none", True, nodes, [["s1", "s9"]]), ("bad", False, nodes, [["s1", "s2"]]),
+    ]
+    df = spark.createDataFrame(rows, "example_id string, success boolean, nodes array<struct<id:string,text:string>>, edges array<array<string>>")
+    lean = graphs.with_graph(df, lean=True).where("graph IS NOT NULL AND graph.slots IS NULL")
+    assert {r["example_id"] for r in lean.collect()} == {"forward", "none"}
+    found = {r["example_id"]: (r["error"], r["orderings"]) for r in orderings.reasoning_paths(df, for_cots=True).collect()}
+    assert found["forward"] == (None, [[0, 1, 2]]) and found["back"] == (None, [[2, 0, 1]])
+    assert len(found["none"][1]) == 6 and found["none"][0] is None
+    assert {found[e][0] for e in ("loop", "cycle")} == {graphs.CYCLIC} and found["bad"][0] == graphs.INVALID_INPUT
