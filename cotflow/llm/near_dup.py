@@ -23,11 +23,18 @@ These are refined, each round in work that grows with its buckets' rows and not
 - texts of larger buckets that are still mixed get longer keys, drawn from all registers in as many
   combinations as make EXPECTED keys agree at the threshold, and go through the same steps.
 
+What these rounds leave is then compared in full: in every larger bucket that is still mixed, each
+text outside the largest class faces each text of another class. Both sides come in blocks of at most
+FACING texts, so a task holds two blocks, however large the bucket. With s and t the shares of weight
+that two texts have in common, their similarity is at most 1 / (1/s + 1/t - 1), and just that where
+each text's weights are equal; two matrix products per block give this bound for all its pairs, and
+pairs that reach the threshold by it are verified. This is quadratic in the texts outside the largest
+class, and only there.
+
 Connected components of the verified links are the classes. New links are joined to the classes
 found so far; what a round stored goes when the next has been stored. Links are exact, so classes
-never mix texts that no chain of verified links connects; a link can be missed where two texts of a
-large mixed bucket are similar to each other and to none of its central members. README has
-the measured recall.
+never mix texts that no chain of verified links connects; no pair that shares a bucket of more than
+SMALL texts is left out.
 
 Texts with equal word sequences are one node, named by a hash of their digest that is checked to be
 unique. Hot buckets are joined, not gathered: adaptive execution splits them, and leaders come
@@ -63,6 +70,8 @@ LIKELY = 0.7
 # Registers in the longer keys of each further round, and how many keys agree on average at the threshold.
 LONGER = (18,)
 EXPECTED = 5
+# Texts in a block of the full comparison, and shingles counted at a time there.
+FACING, COLUMNS = 256, 4096
 # Ids of texts to verify are broadcast up to this many (some 100 bytes each), else joined.
 BROADCAST_IDS = 200_000
 
@@ -337,7 +346,7 @@ def mixed_buckets(placed: DataFrame) -> DataFrame:
 
 
 def refining_pairs(own: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify in mixed buckets; at most SMALL or CENTRAL per row."""
+    """Pairs (a, b) to verify in mixed buckets; at most SMALL or CENTRAL per row. ``compared`` takes the rest."""
     few = own.where(F.col("n") <= SMALL).select("key", "id", "class_id")
     other = few.select("key", F.col("id").alias("end"), F.col("class_id").alias("end_class"))
     among = few.join(other, "key").where((F.col("class_id") != F.col("end_class")) & (F.col("id") < F.col("end")))
@@ -351,6 +360,107 @@ def refining_pairs(own: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
 
 
+def similarity_bounds(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
+    """An upper bound of the similarity of every text of one side with every text of the other.
+
+    A side is (row, hash, weight) as of ``weighted_shingles``. The bound is the similarity where the
+    weights of each text are equal. Single precision: good to 1e-4.
+    """
+    shared = np.intersect1d(left[1], right[1])
+    sides = []
+    for (rows, hashes, weights), n in ((left, n_left), (right, n_right)):
+        share = weights / np.bincount(rows, weights, n)[rows]
+        at = np.minimum(np.searchsorted(shared, hashes), max(len(shared) - 1, 0))
+        met = shared[at] == hashes if len(shared) else np.zeros(len(hashes), bool)
+        order = np.argsort(at[met], kind="stable")
+        sides.append((rows[met][order], at[met][order], share[met][order]))
+    common = np.zeros((2, n_left, n_right), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        dense = []
+        for (rows, at, share), n in zip(sides, (n_left, n_right), strict=True):
+            span = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+            part = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            part[rows[span], at[span] - low] = share[span]
+            dense.append((part, (part > 0).astype(np.float32)))
+        (x, in_x), (y, in_y) = dense
+        common[0] += x @ in_y.T
+        common[1] += in_x @ y.T
+    with np.errstate(divide="ignore"):
+        return 1 / (1 / common[0] + 1 / common[1] - 1)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _faced(table: pa.Table) -> pa.Table:
+    """Links (a, b) between the asking and the answering texts of one pair of blocks, one for every two classes."""
+    asks = table.column("asks")
+    blocks_of = [table.filter(asks).combine_chunks(), table.filter(pc.invert(asks)).combine_chunks()]
+    ids, classes, outer = ([b.column(c).to_numpy() for b in blocks_of] for c in ("id", "class_id", "outer"))
+    shingles = [weighted_shingles(Texts(_whole(b.column("text")))) for b in blocks_of]
+    edges = [np.searchsorted(rows, np.arange(b.num_rows + 1)) for (rows, _, _), b in zip(shingles, blocks_of, strict=True)]
+    bounds = similarity_bounds(*shingles, *[b.num_rows for b in blocks_of])
+    # Two texts that both ask meet twice.
+    wanted = (classes[0][:, None] != classes[1]) & (~outer[1] | (ids[0][:, None] < ids[1]))
+    links, linked = [], set()
+    for i, j in zip(*np.nonzero(wanted & (bounds >= THRESHOLD - 1e-4)), strict=True):
+        kinds = (classes[0][i], classes[1][j])
+        if kinds in linked:
+            continue
+        sides = [(h[e[k] : e[k + 1]], w[e[k] : e[k + 1]]) for (_, h, w), e, k in zip(shingles, edges, (i, j), strict=True)]
+        if similarity(*sides) >= THRESHOLD:
+            linked.add(kinds)
+            links.append(sorted((int(ids[0][i]), int(ids[1][j]))))
+    give_back()
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def facing_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, asking, facing, id, class_id, outer, asks): which blocks of the mixed buckets of
+    ``members`` (key, id) each text belongs to.
+
+    Texts outside the largest class ask, in ``asking`` blocks; all answer, in ``facing`` blocks. Of
+    buckets of the same texts one is taken.
+    """
+    placed = with_classes(members, classes)
+    placed = placed.join(mixed_buckets(placed), "key").withColumn("outer", F.col("class_id") != F.col("major"))
+    placed = placed.join(texts.select("id", F.octet_length("text").cast("long").alias("size")), "id")
+
+    def parts(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / FACING), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    sizes = placed.groupBy("key").agg(
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n"), F.sum("size").alias("bytes"),
+        F.count_if("outer").alias("asked"), F.sum(F.when(F.col("outer"), F.col("size")).otherwise(0)).alias("asked_bytes"),
+    )
+    once = sizes.groupBy("same", "n").agg(F.min_by(F.struct(*sizes.columns), "key").alias("one")).select("one.*")
+    dealt = once.select("key", parts(F.col("asked"), F.col("asked_bytes")).alias("askers"), parts(F.col("n"), F.col("bytes")).alias("all"))
+    rows = placed.select("key", "id", "class_id", "outer").join(dealt, "key")
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(of)), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    kept = ["id", "class_id", "outer"]
+    asking = rows.where("outer").select("key", block("askers").alias("asking"), every("all").alias("facing"), *kept, F.lit(True).alias("asks"))
+    answering = rows.select("key", every("askers").alias("asking"), block("all").alias("facing"), *kept, F.lit(False).alias("asks"))
+    return asking.unionByName(answering)
+
+
+def compared(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes when in every mixed bucket of ``members`` (key, id) all pairs of different classes are compared."""
+    blocks_of = staged(facing_blocks(members, texts, classes), "near-facing")
+    if blocks_of.isEmpty():
+        return classes
+    faced = blocks_of.join(texts.select("id", "text"), "id").groupBy("key", "asking", "facing").applyInArrow(_faced, "a long, b long")
+    links = staged(faced.distinct(), "near-links")
+    forget(blocks_of)
+    return classes if links.isEmpty() else merged(classes, links)
+
+
 def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
     """The classes when all mixed buckets of ``members`` (key, id) have been refined.
 
@@ -365,6 +475,7 @@ def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: Data
     rest = staged(rest.mapInArrow(_signed, SIGNED), "near-signed")
     central = centrality(rest)
     rounds = iter(LONGER)
+    large = staged(own.where(F.col("n") > SMALL).select("key", "id"), "near-large")
     while True:
         ranked = own.join(central, "id", "left")
         pairs = staged(refining_pairs(ranked).join(done, ["a", "b"], "left_anti"), "near-pairs")
@@ -373,12 +484,12 @@ def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: Data
             classes = merged(classes, links)
         rows = next(rounds, None)
         if rows is None:
-            return classes
+            break
         done = done.unionByName(pairs)
         # Who lies outside the largest class of a large bucket that is still mixed looks further; the
         # others only answer.
-        large = with_classes(own.where(F.col("n") > SMALL).select("key", "id"), classes)
-        still = large.join(mixed_buckets(large), "key")
+        many = with_classes(own.where(F.col("n") > SMALL).select("key", "id"), classes)
+        still = many.join(mixed_buckets(many), "key")
         asks = still.groupBy("id").agg(F.max(F.col("class_id") != F.col("major")).alias("outer"))
         asking = rest.join(with_classes(asks, classes), "id").select("id", "class_id", "outer", "signature")
         keys = staged(asking.mapInArrow(lambda batches, rows=rows: _longer_keys(rows, batches), KEYED), "near-longer-keys")
@@ -390,7 +501,8 @@ def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: Data
         own = staged(placed.join(mixed_buckets(placed), "key"), "near-mixed")
         forget(before, keys, placed)
         if own.isEmpty():
-            return classes
+            break
+    return compared(large, rest, classes)
 
 
 def named_nodes(sketches: DataFrame) -> DataFrame:

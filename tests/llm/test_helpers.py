@@ -240,3 +240,24 @@ def test_sketch_keeps_the_smallest_of_each_register():
     for h in hashes.tolist():
         registers[h >> 59] = min(h, registers.get(h >> 59, h))
     assert sorted(kept.tolist()) == sorted(registers.values())
+
+
+def test_similarity_bounds():
+    """Never below the similarity, and equal to it where weights are equal."""
+    draws = np.random.default_rng(7)
+    sides, texts = [], []
+    for n in (9, 7):
+        rows, hashes, weights = [], [], []
+        for i in range(n):
+            own = np.sort(draws.choice(40, draws.integers(5, 35), replace=False)).astype(np.uint64)
+            rows += [i] * len(own)
+            hashes += own.tolist()
+            weights += (np.ones(len(own)) * 3 if i % 2 else draws.integers(1, 4, len(own))).tolist()
+            texts.append((own, np.array(weights[-len(own) :], float)))
+        sides.append((np.array(rows), np.array(hashes, np.uint64), np.array(weights, float)))
+    bounds = near_dup.similarity_bounds(*sides, 9, 7)
+    for i in range(9):
+        for j in range(7):
+            exact = near_dup.similarity(texts[i], texts[9 + j])
+            assert bounds[i, j] >= exact - 1e-5
+            assert not (i % 2 and j % 2) or abs(bounds[i, j] - exact) < 1e-5

@@ -522,6 +522,24 @@ def test_pairs_to_verify_stay_few(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * n
 
 
+def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
+    """Edited copies, some with a passage twice: every link is found, also where buckets go on in several blocks."""
+    draws, words = random.Random(35), vocabulary(36)
+    text = sentence(draws, words, 80).split()
+    rows = []
+    for i in range(70):
+        edited = list(text)
+        for at in draws.sample(range(80), 2):
+            edited[at] = draws.choice(words)
+        rows.append((i, " ".join(edited + edited[:6] * (i % 3))))
+    monkeypatch.setattr(near_dup, "FACING", 20)
+    # Without the rounds before it the full comparison still finds all.
+    monkeypatch.setattr(near_dup, "CENTRAL", 0)
+    monkeypatch.setattr(near_dup, "LONGER", ())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == brute.classes(rows)
+
+
 def test_unlike_texts_with_one_id_all_stay(spark):
     draws, words = random.Random(33), vocabulary(34)
     texts = [sentence(draws, words, 80) for _ in range(5)]
