@@ -75,7 +75,7 @@ FACING, COLUMNS = 256, 4096
 # Ids of texts to verify are broadcast up to this many (some 100 bytes each), else joined.
 BROADCAST_IDS = 200_000
 
-SKETCH = "doc_id long, tag string, digest string, bands array<long>"
+SKETCH = "doc_id long, tag string, digest string, bands array<long>, size long"
 SIGNED = "id long, text string, signature binary"
 KEYED = "id long, class_id long, outer boolean, keys array<long>"
 
@@ -150,8 +150,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
-    """doc_id and tag of every row, a digest of the word sequence and band keys; these are null
-    where there are no words or there is no id."""
+    """doc_id and tag of every row, a digest of the word sequence and band keys, which are null
+    where there are no words or there is no id, and the bytes of the text."""
     schema = arrow_schema(SKETCH)
     for part, texts in blocks(batches, "text"):
         rows, hashes, weights = weighted_shingles(texts)
@@ -165,8 +165,9 @@ def _sketch(batches):
         ends = np.concatenate([[0], np.cumsum(known) * BANDS]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()), mask=pa.array(~known))
         named = [f"{a:016x}{b:016x}" if k else None for a, b, k in zip(*digests, known, strict=True)]
+        size = pc.binary_length(part.column("text")).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("tag"), pa.array(named, pa.string()), bands], schema=schema
+            [part.column("doc_id"), part.column("tag"), pa.array(named, pa.string()), bands, size], schema=schema
         )
 
 
@@ -416,16 +417,15 @@ def _faced(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def facing_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def facing_blocks(placed: DataFrame) -> DataFrame:
     """(key, asking, facing, id, class_id, outer, asks): which blocks of the mixed buckets of
-    ``members`` (key, id) each text belongs to.
+    ``placed`` (key, id, size, class_id) each text belongs to.
 
     Texts outside the largest class ask, in ``asking`` blocks; all answer, in ``facing`` blocks. Of
-    buckets of the same texts one is taken.
+    buckets of the same texts one is taken. The members bring the bytes of their texts, as a join
+    with the texts would look each text up once per bucket, and that twice.
     """
-    placed = with_classes(members, classes)
     placed = placed.join(mixed_buckets(placed), "key").withColumn("outer", F.col("class_id") != F.col("major"))
-    placed = placed.join(texts.select("id", F.octet_length("text").cast("long").alias("size")), "id")
 
     def parts(count: Column, size: Column) -> Column:
         return F.greatest(F.ceil(count / FACING), F.ceil(size / BLOCK_BYTES)).cast("int")
@@ -451,8 +451,10 @@ def facing_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame) -> D
 
 
 def compared(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes when in every mixed bucket of ``members`` (key, id) all pairs of different classes are compared."""
-    blocks_of = staged(facing_blocks(members, texts, classes), "near-facing")
+    """The classes when in every mixed bucket of ``members`` (key, id, size) all pairs of different classes are compared."""
+    placed = staged(with_classes(members, classes), "near-classed")
+    blocks_of = staged(facing_blocks(placed), "near-facing")
+    forget(placed)
     if blocks_of.isEmpty():
         return classes
     faced = blocks_of.join(texts.select("id", "text"), "id").groupBy("key", "asking", "facing").applyInArrow(_faced, "a long, b long")
@@ -462,23 +464,26 @@ def compared(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFr
 
 
 def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
-    """The classes when all mixed buckets of ``members`` (key, id) have been refined.
+    """The classes when all mixed buckets of ``members`` (key, id, size) have been refined; size is the
+    bytes of the text.
 
     ``texts`` (id, text) holds the members' texts, the pairs ``done`` need no second look.
     """
-    placed = with_classes(members, classes)
+    placed = staged(with_classes(members, classes), "near-classed")
     mixed = mixed_buckets(placed)
     own = staged(placed.join(mixed, "key").distinct(), "near-mixed")
+    forget(placed)
     if own.isEmpty():
         return classes
     rest = texts.join(own.select("id").distinct(), "id", "left_semi").select("id", "text")
     rest = staged(rest.mapInArrow(_signed, SIGNED), "near-signed")
     central = centrality(rest)
     rounds = iter(LONGER)
-    large = staged(own.where(F.col("n") > SMALL).select("key", "id"), "near-large")
+    large = staged(own.where(F.col("n") > SMALL).select("key", "id", "size"), "near-large")
     while True:
-        ranked = own.join(central, "id", "left")
+        ranked = staged(own.join(central, "id", "left"), "near-ranked")
         pairs = staged(refining_pairs(ranked).join(done, ["a", "b"], "left_anti"), "near-pairs")
+        forget(ranked)
         links = verified(pairs, rest)
         if not links.isEmpty():
             classes = merged(classes, links)
@@ -506,8 +511,11 @@ def refined(members: DataFrame, texts: DataFrame, classes: DataFrame, done: Data
 
 
 def named_nodes(sketches: DataFrame) -> DataFrame:
-    """(digest, first_id, n_copies, node): a number of its own for every word sequence."""
-    copies = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
+    """(digest, first_id, n_copies, size, node): a number of its own for every word sequence; size is
+    the bytes of its longest text."""
+    copies = sketches.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.max("size").alias("size")
+    )
     copies = staged(copies, "near-copies")
     salt = 0
     while True:
@@ -524,8 +532,8 @@ def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.md5(text).alias("tag"), text.alias("text"))
     sketches = staged(rows.mapInArrow(_sketch, SKETCH), "near-sketches")
     nodes = named_nodes(sketches)
-    firsts = sketches.join(nodes.select("digest", F.col("first_id").alias("doc_id"), "node"), ["doc_id", "digest"])
-    keys = firsts.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
+    firsts = sketches.drop("size").join(nodes.select("digest", F.col("first_id").alias("doc_id"), "size", "node"), ["doc_id", "digest"])
+    keys = firsts.select(F.col("node").alias("id"), "size", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     members = staged(keys.join(buckets.select("key", "leader"), "key"), "near-members")
     stars = members.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -537,7 +545,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = rows.dropna().join(wanted, ["doc_id", "tag"]).select(F.col("node").alias("id"), "text")
     texts = staged(texts.dropDuplicates(["id"]), "near-texts")
     classes = components(verified(stars, texts))
-    classes = refined(members.select("key", "id"), texts, classes, stars)
+    classes = refined(members.select("key", "id", "size"), texts, classes, stars)
 
     placed = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select(
         "digest", "first_id", "n_copies", F.coalesce("class_id", "node").alias("class_node")

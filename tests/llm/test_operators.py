@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -522,6 +523,26 @@ def test_pairs_to_verify_stay_few(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * n
 
 
+def test_blocks_are_dealt_by_the_sizes_of_the_members(spark):
+    """Every text outside the largest class meets each text of another class in one pair of blocks, blocks
+    hold few bytes, and no text is looked up for it: the one join on id is that with the classes."""
+    size = near_dup.BLOCK_BYTES // 4
+    members = spark.createDataFrame([(k, i, size) for k in (1, 2) for i in range(40 + k)], "key long, id long, size long")
+    classes = spark.createDataFrame([(i, 100 + i % 3) for i in range(30)], "id long, class_id long")
+    dealt = near_dup.facing_blocks(near_dup.with_classes(members, classes))
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, .*\bid#", plan)) == 0
+    asks, answers = {}, {}
+    for r in dealt.collect():
+        side = asks if r["asks"] else answers
+        side.setdefault((r["key"], r["asking"], r["facing"]), set()).add((r["id"], r["class_id"]))
+    met = Counter((key[0], a[0], b[0]) for key in asks for a in asks[key] for b in answers.get(key, ()))
+    for k in (1, 2):
+        of = {i: 100 + i % 3 if i < 30 else i for i in range(40 + k)}
+        assert {met[k, a, b] for a in of if of[a] != 102 for b in of} == {1}
+    assert max(len(x) for x in (*asks.values(), *answers.values())) * 4 < len(members.collect())
+
+
 def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
     """Edited copies, some with a passage twice: every link is found, also where buckets go on in several blocks."""
     draws, words = random.Random(35), vocabulary(36)
