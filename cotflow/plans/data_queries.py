@@ -11,7 +11,7 @@ from cotflow.operators import consistency, cots, datasets, multihop, orderings,
 from cotflow.operators.reconciliation import reconcile_ids
 from cotflow.plans import graph_queries, inputs, jobs, oracle_ctes as o, text_queries
 from cotflow.plans.registry import SQL, query
-from cotflow.session import stage_path
+from cotflow.session import drop_stage, stage_path
 from cotflow.sources import corpora, readers, writers
 from cotflow.sources.published import read_published
 from cotflow.streaming.responses import ingest_responses_stream, ingest_results_stream, read_results_stream
@@ -543,17 +543,18 @@ def ingest_results_stream_query(spark, sf_dir):
     results are assembled from what the stream put together."""
     base = stage_path(spark, "results-stream")
     examples = inputs.examples(spark, sf_dir)
-    inputs.responses(spark, sf_dir).write.parquet(f"{base}/responses")
+    inputs.responses(spark, sf_dir).write.parquet(f"{base}/responses", compression="zstd")
     responses, files = spark.read.parquet(f"{base}/responses"), spark.sparkContext.defaultParallelism
     direct = pipeline_type(F.col("style")) == "direct_answer_segmentation"
     stages = [F.lit(s) for s in ("segments", "graph", "cot")]
     needed = examples.select("example_id", F.when(direct, F.array(*stages[:2])).otherwise(F.array(*stages)).alias("needed"))
     for stage in ("graph", "segments", "cot", "graph"):
-        responses.where(F.col("stage") == stage).coalesce(files).write.mode("append").json(f"{base}/landing")
+        responses.where(F.col("stage") == stage).coalesce(files).write.mode("append").json(f"{base}/landing", compression="gzip")
     for turn in range(2):
         # The second run goes on from the checkpoint of the first, when all files have come again.
         if turn:
-            responses.coalesce(2 * files).write.mode("append").json(f"{base}/landing")
+            responses.coalesce(2 * files).write.mode("append").json(f"{base}/landing", compression="gzip")
+            drop_stage(spark, f"{base}/responses")
         ingest_results_stream(spark, f"{base}/landing", f"{base}/out", f"{base}/checkpoint", needed, files).awaitTermination()
     found = read_results_stream(spark, f"{base}/out")
     complete = examples.join(found.select("example_id").distinct(), "example_id", "left_semi")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
+import pathlib
 import random
 
 
@@ -11,6 +13,7 @@ import pytest
 
 
 from cotflow.operators import cots, datasets, prompts
+from cotflow.plans.catalog import QUERIES
 from cotflow.sources import published, writers
 from cotflow.streaming.responses import ingest_results_stream, read_results_stream
 from pyspark.sql import functions as F
@@ -175,6 +178,41 @@ def test_stream_keeps_its_state_without_python(spark, tmp_path):
         query.awaitTermination()
 
 
+def test_stream_keeps_what_a_restart_needs(spark, tmp_path):
+    landing, out, mark = tmp_path / "landing", str(tmp_path / "out"), tmp_path / "mark"
+    landing.mkdir()
+    needed = spark.createDataFrame([(f"e{i}", ["segments"]) for i in range(8)], "example_id string, needed array<string>")
+    for i in range(8):
+        with gzip.open(landing / f"{i}.json.gz", "wt") as f:
+            f.write(json.dumps({"example_id": f"e{i}", "stage": "segments", "response": "r"}))
+    ingest_results_stream(spark, str(landing), out, str(mark), needed, 1).awaitTermination()
+    assert len([p for p in (mark / "commits").iterdir() if p.name.isdigit()]) < 8
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "100"
+    # The kept batches are enough to go on: what came before is still known.
+    with gzip.open(landing / "again.json.gz", "wt") as f:
+        f.writelines(json.dumps({"example_id": f"e{i}", "stage": "segments", "response": "s"}) + "\n" for i in range(8))
+    ingest_results_stream(spark, str(landing), out, str(mark), needed, 1).awaitTermination()
+    rows = sorted(tuple(r) for r in read_results_stream(spark, out).collect())
+    assert rows == [(f"e{i}", "segments", "r") for i in range(8)]
+
+
+def staged_files(spark, tmp_path, name, stage):
+    """Paths of the files that query ``name`` leaves under its folders ``stage`` for a few orders of its own."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    rows = spark.range(1, 40).selectExpr("id o_orderkey", "id * 3 o_custkey", "'1-URGENT' o_orderpriority")
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    before = set(shared.glob(stage))
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    return [p for d in set(shared.glob(stage)) - before for p in d.rglob("part-*")]
+
+
+def test_result_stream_files_are_compressed(spark, tmp_path):
+    files = staged_files(spark, tmp_path, "ingest_results_stream", "results-stream-*")
+    landed = [p for p in files if p.parent.name == "landing"]
+    assert landed and all(p.name.endswith(".json.gz") for p in landed)
+    assert not [p for p in files if p.parent.name == "responses"]
+
+
 def test_preview_says_why_nothing_is_shown(spark):
     rows = [
         ("e1", None, ("LOW",), "exhaustive", 4, ["s1", "s2"], ["one", "two"], [[0, 1], [1, 0], [0, 1], [1, 0]]),
