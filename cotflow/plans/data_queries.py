@@ -520,9 +520,9 @@ p AS (SELECT example_id, stage, CASE WHEN stage = 'cot' THEN {o.tag("response",
     ),
 )
 def ingest_responses_stream_query(spark, sf_dir):
-    """Responses land as JSON files, run through the stream and come back as a table."""
+    """Responses land as compressed JSON files, run through the stream and come back as a table."""
     base = stage_path(spark, "stream")
-    inputs.responses(spark, sf_dir).write.json(f"{base}/landing")
+    inputs.responses(spark, sf_dir).write.json(f"{base}/landing", compression="gzip")
     stream = ingest_responses_stream(
         spark, f"{base}/landing", f"{base}/parsed", f"{base}/checkpoint"
     )

@@ -213,6 +213,14 @@ def test_result_stream_files_are_compressed(spark, tmp_path):
     assert not [p for p in files if p.parent.name == "responses"]
 
 
+@pytest.mark.parametrize(("name", "stage", "ending"), [
+    ("write_sft", "sft_data-*", ".json.gz"), ("read_pipeline_results", "results-*", ".txt.gz"), ("ingest_responses_stream", "stream-*/landing", ".json.gz"),
+])
+def test_staged_files_are_compressed(spark, tmp_path, name, stage, ending):
+    files = staged_files(spark, tmp_path, name, stage)
+    assert files and all(p.name.endswith(ending) for p in files)
+
+
 def test_preview_says_why_nothing_is_shown(spark):
     rows = [
         ("e1", None, ("LOW",), "exhaustive", 4, ["s1", "s2"], ["one", "two"], [[0, 1], [1, 0], [0, 1], [1, 0]]),
