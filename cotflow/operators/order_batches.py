@@ -9,6 +9,7 @@ step of the random draws, is a few array operations over all their prefixes. Res
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from cotflow.functions.hashing import MODULUS, MULTIPLIER
 
 # Cells (prefixes x nodes) in work at a time.
 CELLS = 1 << 20
+# Nodes of the first tail that is arranged, and bits of a set of nodes.
+TAIL, BITS = 8, 62
 
 Found = tuple[np.ndarray, np.ndarray]
 
@@ -183,3 +186,121 @@ def add_orderings(n: int, seed: int, rounds: list[tuple[int, int]], batches):
         )
         for graphs, found in parts:
             yield pa.RecordBatch.from_arrays([*kept.take(pa.array(graphs)).columns, found], schema=schema)
+
+
+def _smallest(nodes: int, src: list[int], dst: list[int]) -> list[int] | None:
+    """The smallest ordering of a graph; None if it has a cycle."""
+    open_edges, after = [0] * nodes, [[] for _ in range(nodes)]
+    for a, b in zip(src, dst, strict=True):
+        open_edges[b] += 1
+        after[a].append(b)
+    ready = [v for v in range(nodes) if not open_edges[v]]
+    path = []
+    while ready:
+        path.append(v := heapq.heappop(ready))
+        for w in after[v]:
+            open_edges[w] -= 1
+            if not open_edges[w]:
+                heapq.heappush(ready, w)
+    return path if len(path) == nodes else None
+
+
+def _searched(nodes: int, src: list[int], dst: list[int], cap: int) -> np.ndarray:
+    """The first ``cap`` orderings of one acyclic graph of any size, one after the other."""
+    before, after = [0] * nodes, [[] for _ in range(nodes)]
+    for a, b in zip(src, dst, strict=True):
+        before[b] |= 1 << a
+        after[a].append(b)
+    found, path = [], []
+    steps = [([v for v in range(nodes) if not before[v]], 0, 0)]
+    while steps:
+        ready, i, placed = steps.pop()
+        if i < len(ready):
+            steps.append((ready, i + 1, placed))
+            v = ready[i]
+            path.append(v)
+            placed |= 1 << v
+            unlocked = [w for w in after[v] if not before[w] & ~placed]
+            steps.append((sorted([*ready[:i], *ready[i + 1 :], *unlocked]), 0, placed))
+            continue
+        if len(path) == nodes:
+            found.append(path[:])
+            if len(found) >= cap:
+                break
+        if path:
+            path.pop()
+    return np.array(found, np.int64).reshape(len(found), nodes)
+
+
+def _behind(firsts: list[np.ndarray], edges: list[tuple[np.ndarray, np.ndarray]], caps: np.ndarray, tail: int) -> list[np.ndarray]:
+    """Per graph the first ``caps`` ways to arrange the last ``tail`` nodes of its smallest ordering."""
+    ends = np.stack([np.sort(first[len(first) - tail :]) for first in firsts])
+    local = np.full((len(firsts), max(map(len, firsts))), -1)
+    np.put_along_axis(local, ends, np.arange(tail)[None, :], axis=1)
+    rows = np.repeat(np.arange(len(firsts)), [len(src) for src, _ in edges])
+    src, dst = (local[rows, np.concatenate([e[k] for e in edges])] for k in (0, 1))
+    among = (src >= 0) & (dst >= 0)
+    rows, src, dst = rows[among], src[among], dst[among]
+    if tail > BITS:
+        parts = [rows == g for g in range(len(firsts))]
+        return [ends[g][_searched(tail, src[of].tolist(), dst[of].tolist(), caps[g])] for g, of in enumerate(parts)]
+    before = np.zeros((len(firsts), tail), np.uint64)
+    np.bitwise_or.at(before, (rows, dst), np.uint64(1) << src.astype(np.uint64))
+    found = [ends[:0]] * len(firsts)
+    for of, paths in enumerated(before, caps):
+        graphs, starts = np.unique(of, return_index=True)
+        for g, part in zip(graphs.tolist(), np.split(paths, starts[1:]), strict=True):
+            found[g] = ends[g][part]
+    return found
+
+
+def first_orderings(nodes: list[int | None], codes: list[np.ndarray], caps: list[int]) -> list[np.ndarray]:
+    """Per graph its first ``caps`` orderings, an array with a row for each; none for a graph with a cycle.
+
+    Orderings that begin like the smallest one come before all others. So the last TAIL nodes of it alone
+    are arranged first, of all graphs together, then twice as many of those that have too few that way.
+    """
+    found = [np.zeros((0, n or 0), np.int64) for n in nodes]
+    edges, firsts = {}, {}
+    for g, n in enumerate(nodes):
+        if not n:
+            # A graph without nodes has one empty ordering.
+            found[g] = np.zeros((min(1, caps[g]) if n == 0 else 0, 0), np.int64)
+            continue
+        src, dst = codes[g] // n, codes[g] % n
+        first = _smallest(n, src.tolist(), dst.tolist())
+        if first is not None and caps[g] > 0:
+            edges[g], firsts[g] = (src, dst), np.array(first)
+    tail, waiting = TAIL, list(firsts)
+    while waiting:
+        for size in {min(tail, nodes[g]) for g in waiting}:
+            part = [g for g in waiting if min(tail, nodes[g]) == size]
+            # Wide graphs take a row of their own length, so they are not put beside others.
+            for of in ([g] for g in part) if tail > BITS else [part]:
+                arranged = _behind([firsts[g] for g in of], [edges[g] for g in of], np.array([caps[g] for g in of]), size)
+                for g, ways in zip(of, arranged, strict=True):
+                    head = firsts[g][: nodes[g] - size]
+                    found[g] = np.concatenate([np.broadcast_to(head, (len(ways), len(head))), ways], axis=1)
+        waiting = [g for g in waiting if len(found[g]) < caps[g] and tail < nodes[g]]
+        tail *= 2
+    return found
+
+
+def _as_lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    inner = np.concatenate([[0], np.cumsum(np.repeat([f.shape[1] for f in found], [len(f) for f in found]))])
+    values = np.concatenate([f.astype(np.int32).ravel() for f in found])
+    listed = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)
+
+
+def listed_first(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The orderings for arrays of node counts, edge codes and caps, in order of the graphs and in parts
+    of whole graphs that hold some CELLS cells at most."""
+    for counts, edges, caps in batches:
+        nodes, caps = counts.to_pylist(), caps.to_pylist()
+        cells = np.cumsum([(n or 0) * cap for n, cap in zip(nodes, caps, strict=True)])
+        cuts = np.flatnonzero(np.diff(cells // CELLS)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True):
+            codes = [np.array(edges[i].as_py() or [], np.int64) for i in range(start, stop)]
+            yield _as_lists(first_orderings(nodes[start:stop], codes, caps[start:stop]))

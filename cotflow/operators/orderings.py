@@ -7,9 +7,10 @@ the prefixes kept and as much for the children that the cap is cut from.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -25,7 +26,7 @@ from cotflow.operators.graphs import (
     mark,
     with_graph,
 )
-from cotflow.operators.order_batches import add_orderings
+from cotflow.operators.order_batches import TAIL, add_orderings, listed_first
 
 # How many orderings each level of detail asks for.
 SAMPLES_FULL, SAMPLES_COTS = 500, 50
@@ -34,7 +35,6 @@ CAPS_COTS = {"MEDIUM": 100, "LOW": 200}
 ATTEMPTS_PER_SAMPLE = 5
 
 FIRST_ROUND = 8
-TAIL = 8
 TABLE_BITS = 10
 
 
@@ -144,7 +144,7 @@ def _wide(graph: Column, build: Callable[[_State], Column], table: Column | None
 
 
 def enumerate_orderings(
-    graph: Column, cap: Column | int = 10000, by_size: Callable[..., Column] = _by_size
+    graph: Column, cap: Column | int = 10000, by_size: Callable[..., Column] | None = None
 ) -> Column:
     """The first ``cap`` orderings in lexicographic order of node numbers.
 
@@ -155,11 +155,24 @@ def enumerate_orderings(
 
     Orderings that begin like the smallest one come before all others. So its last TAIL nodes alone
     are arranged first, then twice as many, until there are ``cap`` orderings or all nodes take part.
+
+    The graphs of an Arrow batch are handled together (``order_batches``). With ``by_size`` it is an
+    expression over the row instead, which may stand in a condition or a lambda.
     """
     cap = F.lit(cap) if isinstance(cap, int) else cap
+    if by_size is None:
+        return _enumerated()(F.size(graph["ids"]), graph["codes"], cap.cast("bigint"))
     return by_size(graph, lambda state: _enumerate(graph, cap, state))
 
 
+@cache
+def _enumerated():
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return listed_first(batches)
+
+    return F.arrow_udf(run, "array<array<int>>")
+
+
 def _first(graph: Column, state: _State) -> Column:
     """The smallest ordering, or as far as it goes in a cyclic graph."""
 

@@ -332,3 +332,38 @@ def test_graphs_listed_in_order_need_no_slots(spark):
     assert found["forward"] == (None, [[0, 1, 2]]) and found["back"] == (None, [[2, 0, 1]])
     assert len(found["none"][1]) == 6 and found["none"][0] is None
     assert {found[e][0] for e in ("loop", "cycle")} == {graphs.CYCLIC} and found["bad"][0] == graphs.INVALID_INPUT
+
+
+def test_first_orderings_of_a_batch(spark):
+    """The batch form against the expression over one row, which it replaces, for graphs of all widths."""
+    draws, rows = random.Random(8), []
+    for i in range(60):
+        n = (1, 2, 5, 9, 14, 30, 70)[i % 7]
+        order = draws.sample(range(n), n)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if draws.random() < 3 / n or (i % 3 == 0 and b == a + 1 and a % 9 != 4)]
+        edges = [(order[a], order[b]) for a, b in pairs] + ([(order[-1], order[0]), (order[0], order[-1])] if i % 10 == 9 and n > 1 else [])
+        rows.append((f"e{i}", [(f"s{v}", "t") for v in range(n)], [[f"s{a}", f"s{b}"] for a, b in edges] or [["s0", "s0"]], True))
+    made = graphs.with_graph(spark.createDataFrame(rows, f"example_id string, nodes {schemas.NODES}, edges {schemas.EDGES}, success boolean")).repartition(2).cache()
+    for cap in (1, 40):
+        batch = orderings.enumerate_orderings(F.col("graph"), cap)
+        by_row = orderings.enumerate_orderings(F.col("graph"), cap, orderings._by_size)
+        found = made.select("example_id", batch.alias("batch"), by_row.alias("by_row"))
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        got = found.collect()
+        assert all(r["batch"] == r["by_row"] for r in got) and max(len(r["batch"]) for r in got) == cap
+        assert cap == 1 or any(1 < len(r["batch"]) < cap for r in got)
+    made.unpersist()
+
+
+@pytest.mark.parametrize("nodes", [3, 70])
+def test_first_orderings_by_search(nodes):
+    """Two steps that change places at either end of a chain: tails of all lengths have too few orderings."""
+    chain = [(v, v + 1) for v in range(nodes - 1) if v not in (0, nodes - 2)]
+    ends = [] if nodes < 4 else [(0, 2), (nodes - 3, nodes - 1)]
+    codes = np.array([a * nodes + b for a, b in chain + ends], np.int64)
+    found = order_batches.first_orderings([nodes, nodes, None], [codes, np.append(codes, 1 * nodes + 1), codes[:0]], [9, 9, 9])
+    assert len(found[1]) == len(found[2]) == 0
+    if nodes > 3:
+        swapped = [{tuple(p[:2]), tuple(p[-2:])} for p in found[0].tolist()]
+        assert len(found[0]) == 4 and found[0].tolist() == sorted(found[0].tolist())
+        assert {frozenset(s) for s in swapped} == {frozenset([a, b]) for a in ((0, 1), (1, 0)) for b in ((68, 69), (69, 68))}
