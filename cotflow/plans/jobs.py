@@ -11,6 +11,8 @@ from cotflow.operators.orderings import reasoning_paths
 from cotflow.operators.reconciliation import reconcile_ids
 from cotflow.operators.sampling import train_val_split
 from cotflow.operators.scoring import accuracy, score_predictions
+from cotflow.session import stored
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores before work that costs far more than the move.
@@ -69,8 +71,8 @@ def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
     """The report's tables. Store ``paths`` first: they scan it three times in all."""
     positions = analysis.step_positions(paths)
     steps = analysis.top_steps(analysis.step_flexibility(positions))
-    steps = steps.join(analysis.step_position_variance(positions), "step", "left")
-    summary = analysis.analysis_summary(paths)
+    steps = stored(steps.join(analysis.step_position_variance(positions), "step", "left"), "report-steps")
+    summary = stored(analysis.analysis_summary(paths), "report-summary")
     return {"summary": summary, "steps": steps, "report": analysis.analysis_report(summary, steps)}
 
 
