@@ -68,7 +68,8 @@ def alternative_sft(
 
 
 def analyze_paths(paths: DataFrame) -> dict[str, DataFrame]:
-    """The report's tables. Store ``paths`` first: they scan it three times in all."""
+    """The report's tables. Store ``paths`` first: they scan it three times in all, as summary and steps
+    are stored; the report has fourteen parts that read them."""
     positions = analysis.step_positions(paths)
     steps = analysis.top_steps(analysis.step_flexibility(positions))
     steps = stored(steps.join(analysis.step_position_variance(positions), "step", "left"), "report-steps")
@@ -94,8 +95,10 @@ def score(predictions: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFram
 def export_training(
     sft: DataFrame, key: str = "id", frac: float = 0.1, seed: int = 42, group_col: str | None = None
 ) -> DataFrame:
-    """Training prompts with their side of the split."""
-    parted = train_val_split(sft, frac, seed, key, group_col)
+    """Training prompts with their side of the split. A split by rows reads ``sft`` up to five times, so
+    that it is stored."""
+    rows = stored(sft, "training-rows") if group_col is None else sft
+    parted = train_val_split(rows, frac, seed, key, group_col)
     return parted.select(
         key, "part", sft_prompt(F.col("question"), F.col("answer")).alias("prompt")
     )

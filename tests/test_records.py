@@ -316,6 +316,39 @@ def test_cap_in_row_equals_cap_by_window(spark):
     assert in_row == window and len(window) == 10
 
 
+def test_paths_and_rows_are_read_once(spark, tmp_path):
+    """The report and the split read what is stored, not their input again for each of their parts."""
+    rows = [
+        (i, f"e{i}", None if i % 3 else "Invalid input", ("LOW",), "exhaustive", 2, ["s1", "s2"], ["one", "two"], [[0, 1], [1, 0]] if i % 3 else None)
+        for i in range(12)
+    ]
+    kinds = "example_ord bigint, example_id string, error string, complexity_estimate struct<complexity:string>, method string, total_paths int, node_ids array<string>, node_texts array<string>, orderings array<array<int>>"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+
+    def reads(df):
+        return str(tmp_path) in df._jdf.queryExecution().executedPlan().toString()
+
+    assert reads(given)
+    report = jobs.analyze_paths(given)["report"]
+    lines = [r["line"] for r in report.collect()]
+    assert not reads(report) and "Total Examples: 12" in lines and "  s1: 8 examples (variance: 1)" in lines
+    sft = given.select(F.lit("train").alias("split"), F.lit("one").alias("id"), F.col("example_id").alias("question"), F.lit("a").alias("answer"))
+    parted = jobs.export_training(sft, frac=0.25)
+    assert not reads(parted)
+    assert sorted(r["part"] for r in parted.collect()) == ["train"] * 9 + ["validation"] * 3
+
+    originals = given.select("example_id", "example_ord", F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("7").alias("final_answer"))
+    held = []
+    kept = cots.cot_records(given, originals, "example_ord", 1, 3, lambda joined: held.append(joined) or joined)
+    assert len(held) == 1 and "cots" not in held[0].columns
+    same = cots.cot_records(given, originals, "example_ord", 1, 3)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, same.collect()))
+    # What is moved for the join are numbers: the texts of an example once, not once per ordering.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "cots" not in plan.split("Join", 1)[1]
+
+
 def test_sft_layout_and_alt_cots(spark, tmp_path):
     rows = spark.createDataFrame([("train", "1", "q", "a", None)], schemas.SFT)
     path = writers.write_sft(rows, str(tmp_path), "math", 10, "original")
